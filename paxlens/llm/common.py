@@ -1,54 +1,22 @@
-"""Shared folders, cut lineage, connected components and pair enumeration for the operators of this subpackage."""
+"""Connected components, pair enumeration and reading for the operators of this subpackage."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import importable
+from ..session import dropped, importable, new_dir, shared_dir, written
+
+__all__ = ["WORD", "components", "crc_of_id", "dropped", "local_roots", "mapped", "new_dir", "pairs_in_runs", "read", "runs_of", "shared_dir", "unsigned_mod", "written"]
 
 WORD = r"[^\x20\x09-\x0D]+"  # a word: a run of anything but the six ASCII white-space characters
-_own: dict[str, str] = {}
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return importable(spark).read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one of its own only where that is unset."""
-    if not (base := spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")):
-        base = _own.setdefault(spark.sparkContext.applicationId, "")
-        if not base:
-            base = _own[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="paxlens-")
-    return base.rstrip("/")
-
-
-def new_dir(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Writes a table to the shared folder and reads it back: lineage ends there, and losing executors loses nothing."""
-    path = new_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._paxlens_path = path
-    return out
-
-
-def dropped(df: DataFrame | None) -> None:
-    """Removes a table of written() that nothing reads any more."""
-    if path := getattr(df, "_paxlens_path", None):
-        jvm = df.sparkSession._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def mapped(df: DataFrame, run, form: str) -> DataFrame:
     """mapInArrow for functions that yield columns: ``run`` gets record batches and yields dicts in the order of ``form``.
 
@@ -131,7 +99,7 @@ def runs_of(*keys: np.ndarray) -> np.ndarray:
     return np.append(np.flatnonzero(new), n)
 
 
-def pairs_in_runs(bounds: np.ndarray, most: int = 1 << 20):
+def pairs_in_runs(bounds: np.ndarray, most: int = 1 << 17):
     """Yields index pairs (i < j) of rows that share a run, about ``most`` at a time: memory stays bounded."""
     sizes = np.diff(bounds)
     rows = np.arange(bounds[-1])
