@@ -17,6 +17,7 @@ import numpy as np
 
 KEPT_PIECES = 800_000  # pieces kept in a worker; beyond that the table starts anew (about 150 MB)
 JOINED_PIECES = 100  # pieces in one call of the library
+STOPS = ",."
 SEPARATOR = "|"  # a word of its own between the pieces, for vocabularies whose ids don't show where a piece starts
 
 
@@ -52,6 +53,8 @@ class PieceEncoder:
         self.line = " \n" if self.ids("\n") else " "
         self.newline = (self.ids("\n") or [-1])[0]
 
+        self.stops = {c: self.whole(c) for c in STOPS}
+
     def ids(self, text: str) -> list[int]:
         return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
@@ -60,8 +63,13 @@ class PieceEncoder:
 
     def learn(self, new: list[str]) -> None:
         """Keeps the ids of pieces not met before; None for a piece beside more white space."""
-        kept, lines, plain = self.pieces, [], []
+        kept, lines, plain, stopped = self.pieces, [], [], []
         for p in new:
+            if p and p[-1] in STOPS and p[:-1].isalpha():  # letters, then a mark: always two words of their own
+                stopped.append(p)
+                if p[:-1] not in kept:
+                    plain.append(p[:-1])
+                continue
             bare = p[1:] if p[:1] == "\n" else p
             if not bare or bare[0].isspace() or bare[-1].isspace():
                 kept[p] = None
@@ -71,6 +79,7 @@ class PieceEncoder:
                 kept[p] = self.whole(p)
             else:
                 plain.append(p)
+        plain = list(dict.fromkeys(plain))
         for part in (plain[k : k + JOINED_PIECES] for k in range(0, len(plain), JOINED_PIECES)):
             if self.starts is not None:
                 self.keep(part, " " + " ".join(part), lambda ids: self.starts[ids], " ", 0)
@@ -78,6 +87,7 @@ class PieceEncoder:
                 self.keep(part, f"{SEPARATOR} " + f" {SEPARATOR} ".join(part), lambda ids: ids == self.mark, "", 1)
         for part in (lines[k : k + JOINED_PIECES] for k in range(0, len(lines), JOINED_PIECES)):
             self.keep(part, "".join(part), lambda ids: ids == self.newline, "", 0)
+        kept.update({p: kept[p[:-1]] + self.stops[p[-1]] for p in stopped})
 
     def keep(self, part: list[str], joined: str, begins, before: str, skipped: int) -> None:
         ids = np.array(self.ids(joined), self.dtype)
@@ -100,10 +110,16 @@ class PieceEncoder:
             if None in found:
                 if len(self.pieces) > KEPT_PIECES:
                     self.pieces.clear()
-                    self.learn(list(set(rest)))
-                else:
-                    self.learn(list({p for p, f in zip(rest, found) if f is None}))
-                found = list(map(self.pieces.get, rest))
+                    found = [None] * len(rest)
+                at, missing = -1, []
+                try:
+                    while True:
+                        missing.append(at := found.index(None, at + 1))
+                except ValueError:
+                    pass
+                self.learn(list({rest[i] for i in missing}))
+                for i in missing:
+                    found[i] = self.pieces[rest[i]]
             if (head := self.firsts.get(first)) is None:
                 safe = first and not first[0].isspace() and not first[-1].isspace()
                 head = self.whole(first) if safe else None
