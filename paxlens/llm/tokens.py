@@ -43,16 +43,20 @@ class PieceEncoder:
         self.pieces: dict[str, bytes | None] = {}
         self.firsts: dict[str, bytes | None] = {}
         #: byte-level words that follow a blank begin with this letter
-        self.starts = None
+        self.starts = self.ends = None
         if self.ids(" a b") != self.ids("a b"):
             self.starts = np.zeros(size, bool)
             self.starts[[i for t, i in vocab.items() if t.startswith("Ġ")]] = True
         else:
             (self.mark,) = self.ids(SEPARATOR)
+            self.ends = np.zeros(size, bool)
+            self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         #: a line's first word is a piece with its line end, or like any word where line ends leave no ids
         self.line = " \n" if self.ids("\n") else " "
         self.newline = (self.ids("\n") or [-1])[0]
 
+        #: the vocabulary has lower case only
+        self.folds = self.ids("Ab É") == self.ids("ab é")
         self.stops = {c: self.whole(c) for c in STOPS}
 
     def ids(self, text: str) -> list[int]:
@@ -63,12 +67,12 @@ class PieceEncoder:
 
     def learn(self, new: list[str]) -> None:
         """Keeps the ids of pieces not met before; None for a piece beside more white space."""
-        kept, lines, plain, stopped = self.pieces, [], [], []
+        kept, lines, plain, letters, stopped = self.pieces, [], [], [], []
         for p in new:
             if p and p[-1] in STOPS and p[:-1].isalpha():  # letters, then a mark: always two words of their own
                 stopped.append(p)
                 if p[:-1] not in kept:
-                    plain.append(p[:-1])
+                    (plain if self.ends is None else letters).append(p[:-1])
                 continue
             bare = p[1:] if p[:1] == "\n" else p
             if not bare or bare[0].isspace() or bare[-1].isspace():
@@ -77,6 +81,8 @@ class PieceEncoder:
                 lines.append(p)
             elif self.starts is None and SEPARATOR in p:
                 kept[p] = self.whole(p)
+            elif self.ends is not None and p.isalpha():  # one word of the vocabulary, so one end of a word
+                letters.append(p)
             else:
                 plain.append(p)
         plain = list(dict.fromkeys(plain))
@@ -85,6 +91,9 @@ class PieceEncoder:
                 self.keep(part, " " + " ".join(part), lambda ids: self.starts[ids], " ", 0)
             else:
                 self.keep(part, f"{SEPARATOR} " + f" {SEPARATOR} ".join(part), lambda ids: ids == self.mark, "", 1)
+        letters = list(dict.fromkeys(letters))
+        for part in (letters[k : k + JOINED_PIECES] for k in range(0, len(letters), JOINED_PIECES)):
+            self.keep(part, " ".join(part), lambda ids: np.append(True, self.ends[ids[:-1]]) if len(ids) else np.zeros(0, bool), "", 0)
         for part in (lines[k : k + JOINED_PIECES] for k in range(0, len(lines), JOINED_PIECES)):
             self.keep(part, "".join(part), lambda ids: ids == self.newline, "", 0)
         kept.update({p: kept[p[:-1]] + self.stops[p[-1]] for p in stopped})
@@ -105,6 +114,8 @@ class PieceEncoder:
             if not text:
                 out.append(b"")
                 continue
+            if self.folds:
+                text = folded(text)
             first, *rest = (text.replace("\n", self.line) if "\n" in text else text).split(" ")
             found = list(map(self.pieces.get, rest))
             if None in found:
@@ -129,6 +140,15 @@ class PieceEncoder:
         return out
 
 
+def folded(text: str) -> str:
+    """The text in lower case where that changes one character at a time, so fewer pieces differ; else as it is."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    return text.lower()
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str) -> PieceEncoder:
     """The process's own encoder of a vocabulary file."""
