@@ -63,7 +63,7 @@ def kd_tree(items: DataFrame, leaves: int) -> Node:
             key = F.element_at(F.array(*dims), pick([n.dim + 1 for n in open_]).cast("int"))
             shift = [max(0, s["bits"] - BIN_BITS) if s else 0 for s in live]
             off = key - pick([s["lo"] if s else 0 for s in live])
-            inside = placed.where(F.col("node").isin(list(search))).withColumn("off", off).where((F.col("off") >= 0) & (F.col("off") < pick([1 << min(62, s["bits"]) if s else 0 for s in live])))
+            inside = placed.where(F.col("node").isin(list(search))).withColumn("off", off).where((F.col("off") >= 0) & (F.col("off") <= pick([(1 << s["bits"]) - 1 if s else 0 for s in live])))
             bins = inside.groupBy("node", F.expr(f"shiftright(off, {_cases(shift)})").alias("bin")).agg(F.sum("weight").alias("w"), F.count("*").alias("n")).collect()
             for i in list(search):
                 s, own = search[i], sorted((b.bin, b.w, b.n) for b in bins if b.node == i)
