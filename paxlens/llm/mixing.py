@@ -43,15 +43,21 @@ def targets(sizes: list[int], weights: list[float], share: float = SHARE, epochs
         rest = share * sum(sizes) - sum(out[i] for i in full)
 
 
-def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, epochs: float = EPOCHS, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken for every row (and columns to ``keep``).
+def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, epochs: float = EPOCHS) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken for every row.
 
     Sources stand by code point, null last.  ``taken`` is how many of its words the mix takes, repeats counted: ``size``
     for each whole epoch, and in the last epoch what the budget leaves.  Null texts have size 0 and give nothing; null
     doc_ids have keys of their own; repeated rows are documents of their own; an empty table gives no rows.  Per-source
     budgets (one row a source) are worked out on the driver; sources must number far fewer than documents.
     """
-    cols = ["doc_id", "source", *keep]
+    return _mixed(docs, weights, share, epochs, [])
+
+
+def _mixed(docs: DataFrame, weights: tuple[float, ...], share: float, epochs: float, keep: list[str]) -> DataFrame:
+    """mixed(), with the columns to ``keep`` as one struct ``row``, so that no name clashes."""
+    cols = ["doc_id", "source", *(["row"] if keep else [])]
+    docs = docs.select("doc_id", "source", "text", *([F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row")] if keep else []))
     base = docs.select(*cols, words(F.col("text")).alias("size"), F.md5(F.concat_ws("|", F.lit(SALT), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary")).alias("key"))
     base = base.withColumn("range", F.substring("key", 1, KEY_DIGITS))
     ranges = written(base.groupBy("source", "range").agg(F.sum("size").alias("range_size")), "mix-ranges")
@@ -73,18 +79,18 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float =
     return rows.select(*cols, "size", "source_size", "target", taken.cast("long").alias("taken"))
 
 
-def mixture(docs: DataFrame, **how) -> DataFrame:
+def mixture(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, epochs: float = EPOCHS) -> DataFrame:
     """The mix as rows of ``docs``: a document as often as whole epochs take it, and once more cut to the words taken in part.
 
     Columns are those of ``docs``; n_chars, where there is one, follows a cut text.  Documents without words are not in it.
     """
-    rows = mixed(docs, keep=tuple(c for c in docs.columns if c not in ("doc_id", "source")), **how).where("taken > 0")
+    rows = _mixed(docs, weights, share, epochs, docs.columns).where("taken > 0")
     times = F.ceil(F.col("taken") / F.col("size")).cast("int")
     rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), times)))
     part = F.col("taken") - (F.col("copy") - 1) * F.col("size")
     # at most one document a source is cut; its white space stays
-    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(rf"([\x20\x09-\x0D]*{WORD})"), 1), F.lit(1), part.cast("int")), "")
-    rows = rows.withColumn("text", F.when(part < F.col("size"), cut).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(part < F.col("size"), F.char_length("text").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars")))
-    return rows.select(*docs.columns)
+    cut = F.array_join(F.slice(F.regexp_extract_all("row.text", F.lit(rf"([\x20\x09-\x0D]*{WORD})"), 1), F.lit(1), part.cast("int")), "")
+    text = F.when(part < F.col("size"), cut).otherwise(F.col("row.text"))
+    kinds = dict(docs.dtypes)
+    new = {"text": text, "n_chars": F.when(part < F.col("size"), F.char_length(cut).cast(kinds.get("n_chars", "long"))).otherwise(F.col("row.n_chars"))} if "n_chars" in kinds else {"text": text}
+    return rows.select(*(new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
