@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from ..operators import features, matching
 from ..rules.dsl import Rule
 from ..schemas import GRAPH_FEATURES
+from ..session import written
 
 
 def hit_summary(hits: DataFrame) -> DataFrame:
@@ -27,10 +28,11 @@ def top_rules(hits: DataFrame, k: int = 10) -> DataFrame:
 def feature_rows(marked: DataFrame, edges: DataFrame, rules: list[Rule], packages: DataFrame | None = None, keep_empty: bool = True) -> DataFrame:
     """One row a package: name, data_type, label, hits, rule columns in file order, graph features in fixed order.
 
-    ``packages`` (package_id, data_type) also brings packages without a graph, as zeros, unless ``keep_empty`` is off.
+    ``packages`` (package_id, data_type) also brings packages without a graph, as zeros, unless ``keep_empty`` is off.  Nodes
+    and edges are read by several aggregations, so they are written once; what is above them runs once.
     """
-    hits = matching.package_hits(marked)
-    out = hits.join(matching.rule_vector(marked, rules), "package_id").join(features.graph_features(marked, edges), "package_id")
+    marked, edges = written(marked, "marked"), written(edges, "edges")
+    out = features.graph_features(marked, edges, matching.hits_column(), *matching.vector_columns(rules))
     if packages is None:
         out = out.withColumn("data_type", F.lit("unknown"))
     else:

@@ -21,16 +21,21 @@ def is_marked() -> Column:
     return F.size("hit_rules") > 0
 
 
-def shares(marked: DataFrame) -> DataFrame:
-    """Counts, ratio, category diversity and category ratios, one row a package, zeros where nothing is marked."""
+def share_columns() -> list[Column]:
+    """Aggregates: counts, ratio, category diversity and category ratios, zeros where nothing is marked."""
     m = F.count_if(is_marked())
     part = lambda x: F.when(m > 0, x / m).otherwise(F.lit(0.0))
-    return marked.groupBy("package_id").agg(
+    return [
         m.alias("malicious_node_count"),
         (m / F.count("*")).alias("malicious_ratio"),
-        F.countDistinct(F.when(is_marked(), F.col("category"))).alias("category_diversity"),
+        F.size(F.collect_set("category")).cast("long").alias("category_diversity"),  # five codes at most
         *(part(F.count_if(is_marked() & (F.col("category") == c))).alias(f"{c}_ratio") for c in CODES),
-    )
+    ]
+
+
+def shares(marked: DataFrame) -> DataFrame:
+    """share_columns() of every package."""
+    return marked.groupBy("package_id").agg(*share_columns())
 
 
 def inner_edges(marked: DataFrame, edges: DataFrame) -> DataFrame:
@@ -189,9 +194,10 @@ def kernel_features(marked: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.groupBy("package_id").cogroup(links.groupBy("of")).applyInPandas(run, form)
 
 
-def graph_features(marked: DataFrame, edges: DataFrame) -> DataFrame:
-    """All graph features of every package, zeros where nothing is marked, in their fixed order."""
-    out = shares(marked)
+def graph_features(marked: DataFrame, edges: DataFrame, *more: Column) -> DataFrame:
+    """package_id, ``more`` aggregates of the nodes, and all graph features in their fixed order, zeros where nothing is marked."""
+    out = marked.groupBy("package_id").agg(*more, *share_columns())
+    extra = [c for c in out.columns if c not in GRAPH_FEATURES]
     for part in (density(marked, edges), degree_features(marked, edges), kernel_features(marked, edges)):
         out = out.join(part, "package_id", "left")
-    return out.select("package_id", *(F.coalesce(F.col(c), F.lit(0)).alias(c) for c in GRAPH_FEATURES))
+    return out.select(*(F.col(f"`{c}`") for c in extra), *(F.coalesce(F.col(c), F.lit(0)).alias(c) for c in GRAPH_FEATURES))

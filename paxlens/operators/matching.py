@@ -52,13 +52,22 @@ def mark(nodes: DataFrame, edges: DataFrame | None, rules: list[Rule]) -> DataFr
     return out.withColumn("category", first).drop("args")
 
 
-def package_hits(marked: DataFrame) -> DataFrame:
-    """package_id, hits: sorted distinct rule ids; also packages without any."""
-    return marked.groupBy("package_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("hit_rules")))).alias("hits"))
+def hits_column() -> Column:
+    """Aggregate: sorted distinct ids of the rules that hit in a package."""
+    return F.array_sort(F.array_distinct(F.flatten(F.collect_set("hit_rules")))).alias("hits")
 
 
-def rule_vector(marked: DataFrame, rules: list[Rule]) -> DataFrame:
-    """package_id and one 0/1 column ``rule_<id>`` for each rule in file order: one aggregation, pre-aggregated by task."""
+def vector_columns(rules: list[Rule]) -> list[Column]:
+    """Aggregates: one 0/1 column ``rule_<id>`` for each rule in file order."""
     ordered = sorted(rules, key=lambda r: r.place)
-    cols = [F.coalesce(F.max(F.array_contains("hit_rules", r.rule_id).cast("int")), F.lit(0)).alias(f"rule_{r.rule_id}") for r in ordered]
-    return marked.groupBy("package_id").agg(*cols)
+    return [F.coalesce(F.max(F.array_contains("hit_rules", r.rule_id).cast("int")), F.lit(0)).alias(f"rule_{r.rule_id}") for r in ordered]
+
+
+def package_hits(marked: DataFrame) -> DataFrame:
+    """package_id, hits; also packages without any."""
+    return marked.groupBy("package_id").agg(hits_column())
+
+
+def rule_vector(marked: DataFrame, rules: list[Rule], *more: Column) -> DataFrame:
+    """package_id, vector_columns() and ``more`` aggregates: one pass, pre-aggregated by task."""
+    return marked.groupBy("package_id").agg(*vector_columns(rules), *more)

@@ -86,7 +86,7 @@ _vector = ", ".join(f"max((list_contains(hit_rules, '{r}'))::int)::int as \"rule
 @query(f"{OM} select package_id, {_vector}, count(*)::bigint as n_nodes from marked group by package_id")
 def package_vector(spark, sf_dir):
     m, _ = demo_marked(spark, sf_dir)
-    return matching.rule_vector(m, rules(DEMO)).join(m.groupBy("package_id").agg(F.count("*").alias("n_nodes")), "package_id")
+    return matching.rule_vector(m, rules(DEMO), F.count("*").alias("n_nodes"))
 
 
 @query(f"{OM} select package_id, array_to_string(list_sort(list_distinct(flatten(list(hit_rules)))), ',') as hit_rules from marked group by package_id")
