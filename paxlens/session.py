@@ -20,6 +20,7 @@ def importable(spark: SparkSession) -> SparkSession:
     return spark
 
 
+FEW_FILES, FILE_ROWS = 8, 250_000
 _own: dict[str, str] = {}
 
 
@@ -36,8 +37,13 @@ def new_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Writes a table to the shared folder and reads it back: lineage ends there, and losing executors loses nothing."""
+def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Writes a table to the shared folder and reads it back: lineage ends there, and losing executors loses nothing.
+
+    Where a bound on its ``rows`` is known, as many tasks write it as these need, so small tables are few files.
+    """
+    if rows is not None:
+        df = df.coalesce(max(FEW_FILES, -(-rows // FILE_ROWS)))
     path = new_dir(df.sparkSession, name)
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
