@@ -54,14 +54,14 @@ def components(edges: DataFrame, name: str = "components", most_rounds: int = 60
     spark = edges.sparkSession
     lo, hi = F.least("a", "b"), F.greatest("a", "b")
     now = written(edges.where("a <> b").select(hi.alias("hi"), lo.alias("lo")).distinct(), name)
-    mark = None
+    mark, n = None, now.count()
     for _ in range(most_rounds):
         both = now.select(F.col("hi").alias("n"), F.col("lo").alias("m")).unionAll(now.select("lo", "hi"))
         least = both.groupBy("n").agg(F.least(F.min("m"), F.col("n")).alias("s"))
         large = both.where("m > n").join(least, "n").select(F.col("m").alias("hi"), F.col("s").alias("lo")).distinct()
         tops = large.groupBy("hi").agg(F.min("lo").alias("s"))
         small = large.join(tops, "hi").where("lo <> s").select(F.col("lo").alias("hi"), F.col("s").alias("lo"))
-        new = written(small.unionAll(tops.select("hi", "s")).distinct(), name)
+        new = written(small.unionAll(tops.select("hi", "s")).distinct(), name, 2 * n)
         got = new.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
         dropped(now)
         now = new

@@ -119,7 +119,7 @@ def near_links(fps: DataFrame, bits: int = 4, parts: int | None = None) -> DataF
             for k in tables.keys(pdf.fp.to_numpy().view(np.uint64)):
                 yield pd.DataFrame({"key": k, "fp": pdf.fp})
 
-    rows = written(fps.select("fp").mapInPandas(keyed, "key long, fp long"), "simhash-buckets")
+    rows = written(fps.select("fp").mapInPandas(keyed, "key long, fp long"), "simhash-buckets", n * len(tables.tables))
     sizes = rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     rows = rows.join(sizes, "key")
     blocks = F.ceil(F.col("size") / BUCKET).cast("int")
@@ -154,12 +154,13 @@ def simhash_components(docs: DataFrame, bits: int = 4, words: int = 4, parts: in
     null; repeated rows and ids come back as often; an empty table gives no rows; other columns are ignored.
     """
     all_fps = written(fingerprints(docs, words), "simhash-fingerprints")
-    distinct = written(all_fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
+    n = all_fps.count()
+    distinct = written(all_fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct", n)
     links = written(near_links(distinct, bits, parts), "simhash-links")
     comp = components(links, "simhash-components").withColumnRenamed("node", "fp")
     nodes = distinct.join(comp, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     ids = nodes.groupBy("component").agg(F.min("least").alias("component_id"))
-    of = written(nodes.join(ids, "component").select("fp", "component_id"), "simhash-of")
+    of = written(nodes.join(ids, "component").select("fp", "component_id"), "simhash-of", n)
     dropped(links)
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
     return all_fps.join(of, "fp").select("doc_id", hexed, "component_id")
