@@ -22,6 +22,7 @@ BUCKETS, SIZE, WIDTHS, FILTERS = 1 << 15, 16, (1, 2, 3), 16
 PREFIXES = (4, 5)
 SAMPLE = {1: 2500, 0: 5000}  # labelled documents of each class that the fit reads at most
 EPOCHS, BATCH, RATE = 8, 32, 0.01
+LEAST_STEPS = 400  # of a fit, however few documents there are
 KEEP = 0.5  # share of words that a step of the fit sees
 KEPT_WORDS = 60_000  # projected words kept in a worker (about 25 MB)
 CHUNK = 1 << 15
@@ -76,7 +77,7 @@ class Convolution:
         state = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in (("emb", self.emb), ("taps", self.taps), ("bias", self.bias), ("out", self.out))}
         weight = np.where(labels == 1, 0.5 / max(labels.mean(), 1e-9), 0.5 / max(1 - labels.mean(), 1e-9))
         turn = 0
-        for _ in range(EPOCHS):
+        for _ in range(max(EPOCHS, -(-LEAST_STEPS * BATCH // len(texts)))):
             order = rng.permutation(len(texts))
             for k in range(0, len(order), BATCH):
                 turn += 1
