@@ -3,8 +3,9 @@
 Each of ``TABLES`` tables hashes a vector to the grid cell of ``k`` Gaussian (2-stable) projections.  A query visits
 cells in the order of their estimated success, the sum of squared distances from its projected point to the cell's
 slabs, produced by a heap over sorted per-line perturbations.  The number of cells visited is fitted on a bounded
-sample so that recall of the ten nearest exceeds ``TARGET`` there; candidates of all tables are merged and ranked by
-exact Euclidean distance in double precision.  Every row is indexed.
+sample so that recall of the ten nearest reaches ``TARGET`` there; where ``PROBES`` cells don't reach it the index gets
+fewer lines, so larger cells, down to none, which is one cell of all rows.  Candidates of all tables are merged and
+ranked by exact Euclidean distance in double precision.  Every row is indexed.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ TARGET = 0.97  # recall on the sample
 SAMPLE = 8000  # rows the index is fitted on, by hash order
 SAMPLE_QUERIES = 100
 REACH = 4  # largest perturbation on a line
+PROBES = 600  # cells of a table tried before the index gets fewer lines
 CELL = 500  # rows of a cell aimed at
 BLOCK = 4096  # rows of a cell in one block, of the index and of queries
 SEED = 11
@@ -58,16 +60,22 @@ class Index:
 
     def __init__(self, sample: np.ndarray, n: int, k_near: int):
         dim = sample.shape[1]
-        self.lines = max(3, round(math.log(max(n, 1) / CELL) / math.log(3.3)))
-        rng = np.random.default_rng(SEED)
         q = sample[:SAMPLE_QUERIES]
         d = ((q[:, None] - sample[None, : 2 * SAMPLE_QUERIES]) ** 2).sum(2) ** 0.5
         self.width = WIDTH * float(np.median(d[d > 0])) if (d > 0).any() else 1.0
-        self.a = rng.standard_normal((TABLES, dim, self.lines))
-        self.b = rng.uniform(0, 1, (TABLES, self.lines))
-        self.mix = rng.integers(1, 2**62, self.lines, np.int64) | 1
-        self.most = 1
-        self.most = self.fitted(sample, q, k_near)
+        for lines in range(max(3, round(math.log(max(n, 1) / CELL) / math.log(3.3))), -1, -1):
+            self.draw(dim, lines)
+            self.most, self.recall = self.fitted(sample, q, k_near)
+            if self.recall >= TARGET:
+                break
+
+    def draw(self, dim: int, lines: int) -> None:
+        """Hash functions of ``lines`` lines a table; without lines one table, whose only cell holds all rows."""
+        rng = np.random.default_rng(SEED)
+        self.lines, self.tables = lines, TABLES if lines else 1
+        self.a = rng.standard_normal((TABLES, dim, lines))
+        self.b = rng.uniform(0, 1, (TABLES, lines))
+        self.mix = rng.integers(1, 2**62, lines, np.int64) | 1
 
     def place(self, v: np.ndarray, t: int) -> np.ndarray:
         return v @ self.a[t] / self.width + self.b[t]
@@ -79,20 +87,21 @@ class Index:
         own = np.floor(point)
         return own + np.array(list(probes(point - own, most)))
 
-    def fitted(self, sample: np.ndarray, q: np.ndarray, k_near: int, most: int = 600) -> int:
-        """Least number of cells at which the sample's true neighbours are found with chance ``TARGET``."""
-        ranks = np.full((len(q), min(k_near, len(sample) - 1)), most)
+    def fitted(self, sample: np.ndarray, q: np.ndarray, k_near: int) -> tuple[int, float]:
+        """Least number of cells, up to ``PROBES``, at which ``TARGET`` of the sample's true neighbours are found, and the share found."""
+        ranks = np.full((len(q), min(k_near, len(sample) - 1)), PROBES)
         if not ranks.size:
-            return most
-        keys = [self.key(np.floor(self.place(sample, t)), t) for t in range(TABLES)]
+            return PROBES, 1.0
+        keys = [self.key(np.floor(self.place(sample, t)), t) for t in range(self.tables)]
         for i, v in enumerate(q):
             d = ((sample - v) ** 2).sum(1)
             d[i] = np.inf
             near = np.argsort(d, kind="stable")[: ranks.shape[1]]
-            for t in range(TABLES):
-                place = {int(x): r for r, x in reversed(list(enumerate(self.key(self.visited(self.place(v[None], t)[0], most), t))))}
-                ranks[i] = np.minimum(ranks[i], [place.get(int(x), most) for x in keys[t][near]])
-        return int(np.quantile(ranks, TARGET, method="higher")) + 1
+            for t in range(self.tables):
+                place = {int(x): r for r, x in reversed(list(enumerate(self.key(self.visited(self.place(v[None], t)[0], PROBES), t))))}
+                ranks[i] = np.minimum(ranks[i], [place.get(int(x), PROBES) for x in keys[t][near]])
+        most = min(int(np.quantile(ranks, TARGET, method="higher")) + 1, PROBES)
+        return most, float((ranks < most).mean())
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
@@ -132,12 +141,12 @@ def _search(rows: DataFrame, asked: DataFrame, index: Index, k: int, n: int) ->
         for pdf in batches:
             if len(pdf):
                 v = np.stack(pdf.v.to_numpy())
-                for t in range(TABLES):
+                for t in range(index.tables):
                     yield pdf[["vec_id", "v"]].assign(cell=index.key(np.floor(index.place(v, t)), t))
 
     def visiting(batches):
         for pdf in batches:
-            for t in range(TABLES):
+            for t in range(index.tables):
                 cells = [index.key(index.visited(index.place(np.asarray(v)[None], t)[0], index.most), t) for v in pdf.v]
                 if cells:
                     yield pd.DataFrame({"query_id": pdf.vec_id, "q": pdf.v, "cell": cells}).explode("cell").astype({"cell": "int64"})

@@ -461,3 +461,28 @@ def test_probes_are_in_order():
     found = list(ann.probes(at, 200))
     cost = [sum((d - a if d > 0 else a - d - 1 if d < 0 else 0) ** 2 for d, a in zip(p, at)) for p in found]
     assert tuple(found[0]) == (0, 0, 0) and cost == pytest.approx(sorted(cost)) and len({tuple(p) for p in found}) == 200
+
+
+def test_fit_reaches_its_target_for_large_tables():
+    sample = np.random.default_rng(12).standard_normal((3000, 64))
+    index = ann.Index(sample, 15_000_000, 10)
+    keys = [index.key(np.floor(index.place(sample, t)), t) for t in range(getattr(index, "tables", ann.TABLES))]
+    hit = 0
+    for i, v in enumerate(sample[: ann.SAMPLE_QUERIES]):
+        d = ((sample - v) ** 2).sum(1)
+        d[i] = np.inf
+        near = np.argsort(d)[:10]
+        hit += sum(np.any([np.isin(k[near], index.key(index.visited(index.place(v[None], t)[0], index.most), t)) for t, k in enumerate(keys)], axis=0))
+    assert hit >= ann.TARGET * 10 * ann.SAMPLE_QUERIES
+
+
+def test_fit_ends_in_one_cell_of_all_rows(spark, monkeypatch):
+    monkeypatch.setattr(ann, "PROBES", 1)
+    monkeypatch.setattr(ann, "BLOCK", 64)
+    v = np.random.default_rng(13).standard_normal((300, 16))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    assert ann.Index(v, 300, 10).lines == 0
+    d = np.sqrt(((v[:, None] - v[None]) ** 2).sum(2))
+    np.fill_diagonal(d, np.inf)
+    got = {(r.query_id, r.rank, r.vec_id) for r in ann.nearest(df, df, 10).collect()}
+    assert got == {(i, r + 1, int(j)) for i in range(300) for r, j in enumerate(np.argsort(d[i])[:10])}
