@@ -5,7 +5,8 @@ cells in the order of their estimated success, the sum of squared distances from
 slabs, produced by a heap over sorted per-line perturbations.  The number of cells visited is fitted on a bounded
 sample so that recall of the ten nearest reaches ``TARGET`` there; where ``PROBES`` cells don't reach it the index gets
 fewer lines, so larger cells, down to none, which is one cell of all rows.  Candidates of all tables are merged and
-ranked by exact Euclidean distance in double precision.  Every row is indexed.
+ranked by exact Euclidean distance in double precision.  Every row is indexed.  Queries whose cells held fewer than k
+candidates, such as those off the bulk, are compared with all rows, block by block.
 """
 
 from __future__ import annotations
@@ -122,7 +123,15 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     for dim, n in rows.groupBy("dim").count().orderBy("dim").collect():  # lengths, one in a sound table
         own = rows.where(F.col("dim") == dim)
         sample = own.orderBy(F.xxhash64("vec_id", F.lit(SEED)), "vec_id").limit(SAMPLE).select("v").toPandas()
-        parts.append(_search(own, asked.where(F.col("dim") == dim), Index(np.stack(sample.v.to_numpy()), n, k), k, n))
+        ask, index = asked.where(F.col("dim") == dim), Index(np.stack(sample.v.to_numpy()), n, k)
+        found = written(_best(_search(own, ask, index, k), k), "ann-found")
+        parts.append(found)
+        if index.lines:
+            full = found.groupBy("query_id").count().where(F.col("count") >= k).select(F.col("query_id").alias("vec_id"))
+            short = written(ask.join(full, "vec_id", "left_anti"), "ann-short")
+            if not short.isEmpty():
+                index.draw(dim, 0)
+                parts.append(_search(own, short, index, k))
     kind = dict(vectors.dtypes)["vec_id"]
     if not parts:
         return spark.createDataFrame([], f"query_id {kind}, rank int, vec_id {kind}, score double")
@@ -130,11 +139,15 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     for p in parts[1:]:
         found = found.unionByName(p)
     last = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    found = found.distinct().withColumn("rank", F.row_number().over(last)).where(F.col("rank") <= k)
-    return found.select("query_id", "rank", "vec_id", "score")
+    return _best(found, k).withColumn("rank", F.row_number().over(last)).select("query_id", "rank", "vec_id", "score")
 
 
-def _search(rows: DataFrame, asked: DataFrame, index: Index, k: int, n: int) -> DataFrame:
+def _best(found: DataFrame, k: int) -> DataFrame:
+    last = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    return found.distinct().withColumn("rank", F.row_number().over(last)).where(F.col("rank") <= k).drop("rank")
+
+
+def _search(rows: DataFrame, asked: DataFrame, index: Index, k: int) -> DataFrame:
     kind = dict(rows.dtypes)["vec_id"]
 
     def placed(batches):
@@ -155,14 +168,16 @@ def _search(rows: DataFrame, asked: DataFrame, index: Index, k: int, n: int) ->
     asks = written(asked.mapInPandas(visiting, f"query_id {kind}, q array<double>, cell long").dropDuplicates(["query_id", "cell"]), "ann-asks")
     sizes = there.groupBy("cell").agg(F.count("*").alias("n"))
     sizes = sizes.join(asks.groupBy("cell").agg(F.count("*").alias("m")), "cell")
-    sizes = sizes.select("cell", F.ceil(F.col("n") / BLOCK).cast("int").alias("xs"), F.ceil(F.col("m") / BLOCK).cast("int").alias("ys"))
+    sizes = sizes.select("cell", "n", "m", F.ceil(F.col("n") / BLOCK).cast("int").alias("xs"), F.ceil(F.col("m") / BLOCK).cast("int").alias("ys"))
     sizes = written(sizes, "ann-cells")
+    met = sizes.agg(F.sum(F.col("n") * F.col("ys") + F.col("m") * F.col("xs"))).first()[0] or 0
+    sizes = sizes.drop("n", "m")
     # a crowded cell is met block by block: each index block with each block of queries
     left = there.join(sizes, "cell").withColumn("x", unsigned_mod(F.xxhash64("vec_id"), F.col("xs")).cast("int"))
     left = left.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("ys") - 1)))
     right = asks.join(sizes, "cell").withColumn("y", unsigned_mod(F.xxhash64("query_id"), F.col("ys")).cast("int"))
     right = right.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("xs") - 1)))
-    bins = max(1, -(-n * TABLES // (2 * BLOCK)))
+    bins = max(1, -(-met // (2 * BLOCK)))
     bin_ = unsigned_mod(F.xxhash64("cell", "x", "y"), bins).alias("bin")
 
     def ranked(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:

@@ -486,3 +486,16 @@ def test_fit_ends_in_one_cell_of_all_rows(spark, monkeypatch):
     np.fill_diagonal(d, np.inf)
     got = {(r.query_id, r.rank, r.vec_id) for r in ann.nearest(df, df, 10).collect()}
     assert got == {(i, r + 1, int(j)) for i in range(300) for r, j in enumerate(np.argsort(d[i])[:10])}
+
+
+def test_nearest_completes_queries_off_the_bulk(spark):
+    rng = np.random.default_rng(14)
+    v = rng.standard_normal((2000, 32))
+    v[:20] *= 20
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in ann.nearest(df, df.where("vec_id < 20 or vec_id % 100 = 0"), 10).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    assert len(got) == 39 and all(len(set(x)) == 10 for x in got.values())
+    hit = sum(len(set(got[q]) & set(np.argsort(np.where(np.arange(2000) == q, np.inf, ((v - v[q]) ** 2).sum(1)))[:10].tolist())) for q in range(20))
+    assert hit >= 180
