@@ -52,15 +52,16 @@ def fingerprint(text: str | None, words: int = 4) -> int:
     return int(np.packbits(counts * 2 > len(h), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed long): whole texts, one scan, no shuffle."""
+def fingerprints(docs: DataFrame, words: int = 4, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``keys`` (doc_id), fp (the fingerprint as a signed long): whole texts, one scan, no shuffle."""
+    kinds = dict(docs.dtypes)
 
     def run(batches):
         for b in batches:
             fp = np.fromiter((fingerprint(t.as_py(), words) for t in b.column("text")), np.uint64, b.num_rows)
-            yield {"doc_id": b.column("doc_id"), "fp": fp.view(np.int64)}
+            yield {c: b.column(c) for c in keys} | {"fp": fp.view(np.int64)}
 
-    return mapped(docs.select("doc_id", "text"), run, f"doc_id {dict(docs.dtypes)['doc_id']}, fp long")
+    return mapped(docs.select(*keys, "text"), run, "".join(f"{c} {kinds[c]}, " for c in keys) + "fp long")
 
 
 def parts_for(n: int, bits: int) -> int:
@@ -146,6 +147,13 @@ def near_links(fps: DataFrame, bits: int = 4, parts: int | None = None) -> DataF
     return rows.groupBy(group).applyInPandas(compare, "a long, b long")
 
 
+def grouped(distinct: DataFrame, bits: int = 4, parts: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """``distinct`` (fp, ...) with the component of each fingerprint, and the written links behind it."""
+    links = written(near_links(distinct, bits, parts), "simhash-links")
+    comp = components(links, "simhash-components").withColumnRenamed("node", "fp")
+    return distinct.join(comp, "fp", "left").withColumn("component", F.coalesce("component", "fp")), links
+
+
 def simhash_components(docs: DataFrame, bits: int = 4, words: int = 4, parts: int | None = None) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id: smallest doc_id reachable over links of at most ``bits``.
 
@@ -156,9 +164,7 @@ def simhash_components(docs: DataFrame, bits: int = 4, words: int = 4, parts: in
     all_fps = written(fingerprints(docs, words), "simhash-fingerprints")
     n = all_fps.count()
     distinct = written(all_fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct", n)
-    links = written(near_links(distinct, bits, parts), "simhash-links")
-    comp = components(links, "simhash-components").withColumnRenamed("node", "fp")
-    nodes = distinct.join(comp, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    nodes, links = grouped(distinct, bits, parts)
     ids = nodes.groupBy("component").agg(F.min("least").alias("component_id"))
     of = written(nodes.join(ids, "component").select("fp", "component_id"), "simhash-of", n)
     dropped(links)
@@ -167,16 +173,24 @@ def simhash_components(docs: DataFrame, bits: int = 4, words: int = 4, parts: in
 
 
 def deduplicated(docs: DataFrame, bits: int = 4, words: int = 4) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of its near-duplicate group, one row each.
+    """Exactly one row of ``docs`` for each near-duplicate group: the one with the smallest doc_id, null last.
 
-    Rows with a null doc_id can't be told apart from their group and stay only when no group has an id, once.  Of
-    repeated rows one stays: the least text, then the least of the other columns as JSON.
+    Of a group's rows with this id (a null or repeated one) the one with the least hash of the whole row stays, so
+    rows with null or repeated ids are kept or dropped by their texts like any others; of equal rows one stays.
     """
-    found = simhash_components(docs, bits, words)
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_keep")).distinct()
-    out = docs.join(keep, docs.doc_id.eqNullSafe(keep._keep), "left_semi")
-    repeated = docs.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_twice"))
-    once = out.join(repeated, out.doc_id.eqNullSafe(repeated._twice), "left_anti")
-    twice = out.join(repeated, out.doc_id.eqNullSafe(repeated._twice), "left_semi")
-    rest = twice.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64(F.to_json(F.struct("*"))).alias("h"), F.struct(*docs.columns).alias("r"))).alias("m"))
-    return once.unionByName(rest.select("m.r.*").select(*docs.columns))
+    keyed = docs.withColumn("_row", F.xxhash64(*docs.columns, *(F.col(c).isNull() for c in docs.columns)))  # a null alone leaves the hash as it was
+    rows = written(fingerprints(keyed, words, ("doc_id", "_row")), "simhash-rows")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nil"), "doc_id", "_row")).alias("least")
+    distinct = written(rows.groupBy("fp").agg(first), "simhash-distinct", rows.count())
+    nodes, links = grouped(distinct, bits)
+    keep = nodes.groupBy("component").agg(F.min("least").alias("m")).select(F.col("m.doc_id").alias("_keep"), F.col("m._row").alias("_kept"))
+    keep = written(keep.distinct(), "simhash-keep")
+    dropped(links)
+    is_ = lambda other: keyed.doc_id.eqNullSafe(other._keep) & (keyed._row == other._kept)
+    repeated = rows.groupBy(F.col("doc_id").alias("_keep"), F.col("_row").alias("_kept")).count().where("count > 1").drop("count")
+    repeated = written(repeated, "simhash-repeated")
+    out = keyed.join(keep, is_(keep), "left_semi")
+    once = out.join(repeated, is_(repeated), "left_anti").drop("_row")
+    twice = out.join(repeated, is_(repeated), "left_semi")
+    rest = twice.groupBy("doc_id", "_row").agg(F.min(F.struct(*docs.columns)).alias("m"))
+    return once.unionByName(rest.select("m.*"))

@@ -499,3 +499,11 @@ def test_nearest_completes_queries_off_the_bulk(spark):
     assert len(got) == 39 and all(len(set(x)) == 10 for x in got.values())
     hit = sum(len(set(got[q]) & set(np.argsort(np.where(np.arange(2000) == q, np.inf, ((v - v[q]) ** 2).sum(1)))[:10].tolist())) for q in range(20))
     assert hit >= 180
+
+
+def test_deduplicated_keeps_one_row_of_each_group(spark):
+    say = lambda t: " ".join(f"{t}{k}" for k in range(30))
+    rows = [(None, say("a")), (None, say("b")), (None, say("c")), (None, say("c")), (None, say("d")), (3, say("d")), (5, say("d")), (5, say("e")), (6, say("f")), (6, say("f")), (7, say("g")), (7, say("h"))]
+    got = simhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [(None, "a"), (None, "b"), (None, "c"), (3, "d"), (5, "e"), (6, "f"), (7, "g"), (7, "h")]
+    assert sorted(map(str, got)) == sorted(f"Row(doc_id={i}, text={say(t)!r})" for i, t in want)
