@@ -5,10 +5,11 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..session import dropped, importable, new_dir, shared_dir, written
 
-__all__ = ["WORD", "components", "crc_of_id", "dropped", "local_roots", "mapped", "new_dir", "pairs_in_runs", "read", "runs_of", "shared_dir", "unsigned_mod", "written"]
+__all__ = ["WORD", "components", "constants", "crc_of_id", "dropped", "id_key", "local_roots", "mapped", "new_dir", "packed_row", "pairs_in_runs", "range_cuts", "read", "run_of", "runs_of", "shared_dir", "unsigned_mod", "written"]
 
 WORD = r"[^\x20\x09-\x0D]+"  # a word: a run of anything but the six ASCII white-space characters
 
@@ -35,6 +36,51 @@ def mapped(df: DataFrame, run, form: str) -> DataFrame:
     return df.mapInArrow(convert, form)
 
 
+def packed_row(df: DataFrame, columns: list[str] | tuple[str, ...] | None = None) -> Column:
+    """All columns (or some) as one struct ``row``: beside it, columns of any name can be added."""
+    return F.struct(*(F.col(f"`{c}`") for c in (df.columns if columns is None else columns))).alias("row")
+
+
+def constants(values: list, kind: str) -> Column:
+    """Numbers or plain words as a literal array: one leaf of the plan, however many they are."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>") if values else F.array().cast(f"array<{kind}>")
+
+
+def id_key(column: str) -> Column:
+    """A long as text in the same order, null first."""
+    return F.when(F.col(column).isNull(), F.lit("0")).otherwise(F.concat(F.lit("1"), F.lpad(F.hex(F.col(column).cast("long").bitwiseXOR(F.lit(-(2**63)))), 16, "0")))
+
+
+def range_cuts(weights: DataFrame, target) -> list[str]:
+    """Keys that cut rows of ``weights`` (key string, weight long) into runs of near ``target(sum of weights)``, ascending.
+
+    The cuts follow from the rows alone, not from their partitions nor from a sample: rows are dealt to ranges (whichever
+    bounds those have), range sums are accumulated, and a row belongs to the run that the weight before it says.  A key is
+    never cut; the driver holds one key a run.
+    """
+    n, whole = weights.agg(F.count("*"), F.sum("weight")).first()
+    if not n:
+        return []
+    ranges = max(weights.sparkSession.sparkContext.defaultParallelism, -(-n // 500_000))
+    placed = written(weights.repartitionByRange(int(ranges), "key").withColumn("range", F.spark_partition_id()), "range-keys")
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    sums = placed.groupBy("range").agg(F.sum("weight").alias("w")).select("range", F.coalesce(F.sum("w").over(before), F.lit(0)).alias("before"))
+    inside = Window.partitionBy("range").orderBy("key", "weight").rowsBetween(Window.unboundedPreceding, -1)
+    at = placed.withColumn("inside", F.coalesce(F.sum("weight").over(inside), F.lit(0))).join(sums, "range")
+    runs = at.groupBy(F.floor((F.col("before") + F.col("inside")) / F.lit(max(1, int(target(whole or 0))))).alias("run")).agg(F.min("key").alias("key")).collect()
+    dropped(placed)
+    return sorted({r.key for r in runs if r.run > 0})
+
+
+def run_of(key: Column, cuts: list[str]) -> Column:
+    """The number of cuts at or below a key, by binary search in a literal array."""
+    if not cuts:
+        return F.lit(0)
+    table = constants(cuts, "string")
+    steps = F.array(*(F.lit(1 << i) for i in reversed(range(len(cuts).bit_length()))))
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.coalesce(F.get(table, at + step - 1) <= key, F.lit(False)), at + step).otherwise(at))
+
+
 def unsigned_mod(x: Column, n: Column | int) -> Column:
     return F.pmod(x, n if isinstance(n, Column) else F.lit(int(n)))
 
@@ -48,8 +94,8 @@ def components(edges: DataFrame, name: str = "components", most_rounds: int = 60
     """(node, component): the smallest node reachable over ``edges`` (a long, b long), for all nodes with an edge.
 
     Alternates large-star and small-star: rounds grow with the logarithm of the longest path, every table holds at
-    most one row per edge, and minima are pre-aggregated, so a node with very many edges costs no single task.  Loops
-    and nulls are dropped; no edges give no rows.
+    most one row per edge, and minima are pre-aggregated.  The edges of a hub meet its one minimum in a join that
+    adaptive execution splits by size.  Loops and nulls are dropped; no edges give no rows.
     """
     spark = edges.sparkSession
     lo, hi = F.least("a", "b"), F.greatest("a", "b")

@@ -8,7 +8,8 @@ A file (``part-00042.tok``) holds, in ascending doc_id order,
     compressed size, size, and the low 32 bits of XXH64 of its content - with the 9-byte footer at the file's end
 
 so any zstd tool unpacks the whole file, and a reader of one document fetches the tail once, then that document's
-frames only.  Files come from a range sort by doc_id; each is written under a temporary name by its task and renamed.
+frames only.  Files come from a range sort by doc_id, whose bounds follow from the table alone and make files of near equal
+text bytes; each is written under a temporary name by its task and renamed.
 A manifest (a table of one row per file) says which files count, so a task that runs twice leaves nothing behind
 that is read.
 """
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import mapped, new_dir, written
+from .common import id_key, mapped, new_dir, range_cuts, run_of, written
 from .tokens import encoder
 
 FRAME_IDS = 1 << 20  # ids of a frame; longer documents take several
@@ -35,6 +36,8 @@ INDEX_MAGIC, SEEK_MAGIC, SEEKABLE = 0x184D2A5D, 0x184D2A5E, 0x8F92EAB1
 INDEX = np.dtype([("doc_id", "<i8"), ("known", "u1"), ("frame", "<u4"), ("frames", "<u4"), ("start", "<u8"), ("n_tokens", "<u8")])
 LEVEL = 3
 TARGET_BYTES = 96 << 20  # text bytes of a file aimed at
+FILES, FILE_BYTES = 64, 8 << 20  # a small table is cut into so many files, of so many text bytes at least
+HEAD_BYTES = 24  # of a text, that order rows of one id when files are cut
 PART_ROWS = 20000  # documents read by one task
 
 
@@ -110,41 +113,45 @@ class FrameReader:
 def write_tokens(docs: DataFrame, vocabulary: str, end_id: int = 2, files: int | None = None) -> DataFrame:
     """Encodes whole texts, writes the files, returns the manifest: file, docs, tokens, bytes, start, all by file order.
 
-    doc_id is a long.  Null texts count as empty; null doc_ids come first; repeated ids stand in order of their texts;
-    an empty table gives an empty manifest; other columns are ignored.  Documents with one id stay in one file.
+    doc_id is a long.  Null texts count as empty; null doc_ids come first; repeated ids stand in order of their texts, and
+    where they are very many their run is cut between texts that differ in the first ``HEAD_BYTES`` bytes; an empty table
+    gives an empty manifest; other columns are ignored.  ``files`` asks for a number of files.
     """
     spark = docs.sparkSession
     base = new_dir(spark, "tokens")
-    rows = docs.select("doc_id", "text")
-    if files is None:
-        size = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
-        files = max(1, -(-size // TARGET_BYTES), spark.sparkContext.defaultParallelism)
-    rows = rows.repartitionByRange(int(files), "doc_id").sortWithinPartitions("doc_id", "text")
+    key = F.concat(id_key("doc_id"), F.hex(F.substring(F.coalesce(F.col("text").cast("binary"), F.lit(b"")), 1, HEAD_BYTES)))
+    narrow = written(docs.select(key.alias("key"), (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("long").alias("weight")), "tokens-sizes")
+    cuts = range_cuts(narrow, lambda whole: -(-whole // files) if files else min(TARGET_BYTES, max(FILE_BYTES, -(-whole // FILES))))
+    rows = docs.select("doc_id", "text", run_of(key, cuts).alias("run"))
+    rows = rows.repartitionById(len(cuts) + 1, F.col("run")).sortWithinPartitions("run", "doc_id", "text")
 
     def run(batches):
-        from pyspark import TaskContext
-
-        part = TaskContext.get().partitionId()
         fs, folder = filesystem(base)
         enc = encoder(vocabulary)
         end = np.array([end_id], enc.dtype).tobytes()
-        out = writer = None
+        out = writer = part = None
+
+        def close():
+            writer.close()
+            out.close()
+            name = f"part-{part:05d}-{uuid.uuid4().hex[:8]}.tok"
+            fs.move(temporary, f"{folder}/{name}")
+            return {"part": [part], "file": [f"{base}/{name}"], "docs": [len(writer.docs)], "tokens": [writer.tokens], "bytes": [writer.bytes]}
+
         for b in batches:
             for k in range(0, b.num_rows, 256):
-                part_ids, texts = (b.column(c).slice(k, 256).to_pylist() for c in ("doc_id", "text"))
-                for i, tokens in zip(part_ids, enc.encode(texts)):
-                    if writer is None:
+                part_ids, texts, runs = (b.column(c).slice(k, 256).to_pylist() for c in ("doc_id", "text", "run"))
+                for i, tokens, of in zip(part_ids, enc.encode(texts), runs):
+                    if of != part:
+                        if writer:
+                            yield close()
                         fs.create_dir(folder, recursive=True)
-                        temporary = f"{folder}/.{part:05d}-{uuid.uuid4().hex}"
+                        part, temporary = of, f"{folder}/.{of:05d}-{uuid.uuid4().hex}"
                         out = fs.open_output_stream(temporary)
                         writer = FrameWriter(out, enc.dtype.itemsize)
                     writer.add(i, tokens + end)
         if writer:
-            writer.close()
-            out.close()
-            name = f"part-{part:05d}-{uuid.uuid4().hex[:8]}.tok"
-            fs.move(temporary, f"{folder}/{name}")
-            yield {"part": [part], "file": [f"{base}/{name}"], "docs": [len(writer.docs)], "tokens": [writer.tokens], "bytes": [writer.bytes]}
+            yield close()
 
     manifest = written(mapped(rows, run, "part int, file string, docs long, tokens long, bytes long"), "tokens-manifest")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
@@ -154,7 +161,8 @@ def write_tokens(docs: DataFrame, vocabulary: str, end_id: int = 2, files: int |
 def read_tokens(spark: SparkSession, manifest: DataFrame, doc_ids: list[int] | None = None, with_ids: bool = False) -> DataFrame:
     """Per document, from the files: doc_id, start, n_tokens, ids_crc32 (and ids).
 
-    ``doc_ids`` asks for some only; no frame of another document is unpacked then.
+    ``doc_ids`` asks for some only; no frame of another document is unpacked then.  Documents written with a null id come back
+    with one, null and empty texts as the end id alone, repeated rows as often as written; an empty manifest gives no rows.
     """
     pieces = manifest.select("file", "start", F.explode(F.sequence(F.lit(0), F.col("docs") - 1, F.lit(PART_ROWS))).alias("first"))
     wanted = None if doc_ids is None else np.unique(np.array(doc_ids, np.int64))

@@ -1,7 +1,8 @@
 """Deterministic sharded WARC writer and reader.
 
-Records are range-sorted by page_id; each task rolls to a new file when the compressed size passes the target, so the
-same table and number of parts give the same bytes.  Headers (record ids, lengths, digests, dates, targets) are made
+Records are range-sorted by page_id into runs of near equal bytes; the runs' bounds follow from the table alone (an exact
+distributed prefix sum of payload bytes, no sample), and each run rolls to a new file when the compressed size passes the
+target.  So the same table gives the same bytes, however it is partitioned and however large the cluster is.  Headers (record ids, lengths, digests, dates, targets) are made
 anew from the record.  Of records with equal payloads of at least a given size the one with the largest page_id is the
 response, the others are revisits that name it.  A file is written under a temporary name and renamed when complete;
 the manifest, written last, lists the files that count with their sizes and digests.
@@ -18,10 +19,12 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mapped, new_dir, written
+from .common import id_key, mapped, new_dir, range_cuts, run_of, written
 from .token_files import filesystem
 
 ROLL_BYTES = 64 << 20
+RUNS, RUN_BYTES = 64, 4 << 20  # a small table is cut into so many runs, of so many bytes at least; a large one into runs of four files
+OVERHEAD = 512  # bytes of a record beside its payload, about
 DATE = "2000-01-01T00:00:00Z"  # records carry no date of their own
 SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the public namespace for URLs
 LEVEL = 6
@@ -59,17 +62,26 @@ def record(page_id, url: str | None, payload: bytes, digest: str, refers: tuple[
     return z.compress(body) + z.flush()
 
 
+def run_bytes(whole: int, roll_bytes: int = ROLL_BYTES) -> int:
+    """Payload bytes of a run for a table of ``whole`` bytes."""
+    return min(4 * roll_bytes, max(RUN_BYTES, -(-whole // RUNS)))
+
+
 def write_warc(pages: DataFrame, roll_bytes: int = ROLL_BYTES, least_bytes: int = 0, parts: int | None = None) -> DataFrame:
     """Writes all pages, returns the manifest: file, records, bytes, sha1.
 
-    A null html is an empty payload; a null url leaves the target out; rows with a null page_id come first and are always
-    responses, being nothing a revisit could be told apart by; of repeated rows (page and payload equal) the first is the
-    response or refers like the rest; an empty table gives an empty manifest; other columns are ignored.
+    A null html is an empty payload; a null url leaves the target out; rows with a null page_id come first, in order of their
+    payloads' digests, and are always responses, being nothing a revisit could be told apart by; of repeated rows (page and
+    payload equal) the first is the response or refers like the rest, and all stand in one run; an empty table gives an empty
+    manifest; other columns are ignored.  ``parts`` asks for a number of runs instead of run_bytes().
     """
     spark = pages.sparkSession
     base = new_dir(spark, "warc")
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("sha", F.sha1(F.col("html").cast("binary")))
-    known = rows.where(F.col("page_id").isNotNull() & (F.octet_length("html") >= least_bytes)).select("page_id", "sha")
+    narrow = written(rows.select("page_id", "sha", F.octet_length("html").cast("long").alias("size")), "warc-sizes")
+    key = F.concat(id_key("page_id"), "sha")
+    cuts = range_cuts(narrow.select(key.alias("key"), (F.col("size") + OVERHEAD).alias("weight")), lambda whole: -(-whole // parts) if parts else run_bytes(whole, roll_bytes))
+    known = narrow.where(F.col("page_id").isNotNull() & (F.col("size") >= least_bytes)).select("page_id", "sha")
     # only ids and digests move here; the largest page_id of each digest that occurs again
     again = known.groupBy("sha").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("sha", "first")
     notes = known.join(again, "sha").distinct()
@@ -78,28 +90,26 @@ def write_warc(pages: DataFrame, roll_bytes: int = ROLL_BYTES, least_bytes: int
     both = notes.select("page_id", "sha", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "first").unionByName(
         rows.select("page_id", "sha", F.lit(1).alias("kind"), "url", "html", F.lit(None).cast(kind).alias("first"))
     )
-    if parts is None:
-        size = rows.select(F.sum(F.octet_length("html"))).first()[0] or 0
-        parts = max(1, -(-size // (4 * roll_bytes)), spark.sparkContext.defaultParallelism)
-    both = both.repartitionByRange(int(parts), "page_id").sortWithinPartitions("page_id", "sha", "kind", "url")
+    both = both.withColumn("run", run_of(key, cuts)).repartitionById(len(cuts) + 1, F.col("run")).sortWithinPartitions("run", "page_id", "sha", "kind", "url")
 
     def run(batches):
-        from pyspark import TaskContext
-
-        part = TaskContext.get().partitionId()
         fs, folder = filesystem(base)
-        out = None
-        done, note, last, turn = [], None, None, 0
+        out = part = None
+        done, note, last, turn, rolled = [], None, None, 0, 0
+        attempt = uuid.uuid4().hex[:8]
 
         def close():
             out.close()
-            name = f"part-{part:05d}-{len(done):04d}-{attempt}.warc.gz"
+            name = f"part-{part:05d}-{rolled:04d}-{attempt}.warc.gz"
             fs.move(temporary, f"{folder}/{name}")
             done.append((f"{base}/{name}", count, size, sha.hexdigest()))
 
-        attempt = uuid.uuid4().hex[:8]
         for b in batches:
-            for page_id, sha_hex, kind, url, html, first in zip(*(b.column(c).to_pylist() for c in ("page_id", "sha", "kind", "url", "html", "first"))):
+            for page_id, sha_hex, kind, url, html, first, of in zip(*(b.column(c).to_pylist() for c in ("page_id", "sha", "kind", "url", "html", "first", "run"))):
+                if of != part:
+                    if out is not None:
+                        close()
+                    out, part, rolled = None, of, 0
                 if kind == 0:
                     note = (page_id, sha_hex, first)
                     continue
@@ -111,7 +121,7 @@ def write_warc(pages: DataFrame, roll_bytes: int = ROLL_BYTES, least_bytes: int
                     refers = (note[2], record_id(note[2], digest, 0))
                 if out is None:
                     fs.create_dir(folder, recursive=True)
-                    temporary = f"{folder}/.{part:05d}-{len(done)}-{attempt}"
+                    temporary = f"{folder}/.{part:05d}-{rolled}-{attempt}"
                     out, count, size, sha = fs.open_output_stream(temporary, compression=None), 0, 0, hashlib.sha1()
                 packed = record(page_id, url, html.encode("utf-8", "surrogatepass"), digest, refers, turn)
                 out.write(packed)
@@ -119,7 +129,7 @@ def write_warc(pages: DataFrame, roll_bytes: int = ROLL_BYTES, least_bytes: int
                 count, size = count + 1, size + len(packed)
                 if size >= roll_bytes:
                     close()
-                    out = None
+                    out, rolled = None, rolled + 1
         if out is not None:
             close()
         if done:
@@ -159,7 +169,8 @@ def parsed(raw: bytes) -> dict:
 def read_warc(spark: SparkSession, manifest: DataFrame, with_payload: bool = False) -> DataFrame:
     """Per record, from the archives: page_id, payload_bytes, payload_digest, record_type, refers_to (and url, html).
 
-    Payload digests of responses are computed anew from what was read and must equal the header.
+    Payload digests of responses are computed anew from what was read and must equal the header.  A page written with a null
+    id comes back with one, a null html as the empty payload's digest, a null url as null; an empty manifest gives no rows.
     """
 
     def run(batches):
