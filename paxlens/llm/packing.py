@@ -1,6 +1,6 @@
 """Hierarchical multi-length packing.
 
-Each task packs groups of about ``GROUP_TOKENS`` tokens as it reads, so nothing is shuffled and memory is bounded.
+Each task packs groups of about ``GROUP_TOKENS`` tokens, or ``GROUP_DOCS`` documents, as it reads, so nothing is shuffled and memory is bounded.
 Within a group whole windows of long documents stand alone; every rest is routed to the smallest tier that holds it;
 each tier is packed best fit first into windows of its size; gaps are filled with whole rests of shorter tiers, then
 with a piece cut from one; a window full to a tier's size, a power of two, is never padded.  What no shorter rest can
@@ -20,6 +20,7 @@ from .tokens import encoder
 
 TIERS = (4096, 2048, 1024, 512)
 GROUP_TOKENS = 1 << 22
+GROUP_DOCS = 1 << 16  # a group closes at so many documents, however short they are
 STEP_TOKENS = 1 << 18  # tokens of a step group aimed at
 
 
@@ -150,7 +151,7 @@ def packed(docs: DataFrame, vocabulary: str, end_id: int = 2, tiers: tuple[int,
                     ids.append(i)
                     tokens.append(t + end)
                     total += len(t) // w + 1
-                    if total >= group_tokens:
+                    if total >= group_tokens or len(ids) == GROUP_DOCS:
                         yield flush()
                         ids, tokens, total = [], [], 0
         if ids:
