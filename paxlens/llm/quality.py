@@ -1,9 +1,10 @@
 """Quality: a factorisation machine over hashed words, structure statistics and metadata.
 
 score = sigmoid(w0 + sum w_i x_i + 1/2 sum_f [(sum v_if x_i)^2 - sum v_if^2 x_i^2]), so the pairwise interactions of all
-features cost linear time.  Features are a document's distinct hashed words (weighted alike, norm one half) and its
-structure statistics and length, each as a standardised value and as its quantile bin.  It is fitted in numpy on a
-bounded sample of labelled documents (``SAMPLE`` of each class, by hash order).
+features cost linear time.  Features are a document's distinct hashed words (weighted alike, norm one half), the values of
+``metadata`` columns hashed beside them (none unless asked for), and its structure statistics and length, each as a
+standardised value and as its quantile bin.  It is fitted in numpy on a bounded sample of labelled documents (``SAMPLE`` of
+each class, by hash order).  What can be counted word by word is counted once for every distinct word a worker meets.
 """
 
 from __future__ import annotations
@@ -18,56 +19,79 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_of_id, mapped
+from .common import crc_of_id, mapped, packed_row
 from .toxicity import labelled_sample
 
 BUCKETS, RANK = 1 << 15, 8
 SAMPLE = {0: 3000, 1: 5000}  # labelled documents of each class that the fit reads at most
 EPOCHS, BATCH, RATE, DECAY = 12, 64, 0.02, 1e-4
 BINS = 8
-KEPT_WORDS = 400_000
+KEPT_WORDS = 300_000  # words kept in a worker (about 50 MB)
 SEED = 5
 STATISTICS = ("length", "words", "word_length", "distinct", "top_word", "next_same", "pairs", "letters", "digits", "upper", "marks", "pipes", "loud", "lines", "line_repeats", "bare_lines", "short_words", "capital_words", "ends", "long_words")
+_LETTERS, _DIGITS, _UPPER = re.compile(r"[^\W\d_]"), re.compile(r"\d"), re.compile(r"[A-ZÀ-ÖØ-Þ]")
 _MARKS = re.compile(r"[^\w\s.,;:'’\"()!?-]")
 _LOUD = re.compile(r"[!?]{2,}")
 
 
-def statistics(text: str, words: list[str], counts: Counter) -> list[float]:
-    """Structure statistics in the order of ``STATISTICS``; zero for empty texts."""
-    n, chars = len(words), len(text)
-    if not n:
-        return [math.log1p(chars)] + [0.0] * (len(STATISTICS) - 1)
-    lines = [x for x in text.split("\n") if x.strip()]
-    letters = sum(map(len, re.findall(r"[^\W\d_]+", text)))
-    digits = sum(map(len, re.findall(r"\d+", text)))
-    upper = sum(map(len, re.findall(r"[A-ZÀ-ÖØ-Þ]+", text)))
-    return [
-        math.log1p(chars), math.log1p(n), (chars - n) / n, len(counts) / n, max(counts.values()) / n,
-        sum(map(str.__eq__, words, words[1:])) / n, len(set(zip(words, words[1:]))) / n, letters / chars, digits / chars, upper / chars,
-        len(_MARKS.findall(text)) / n, text.count("|") / n, len(_LOUD.findall(text)) / n, len(lines) / n, 1 - len(set(lines)) / max(1, len(lines)),
-        sum(1 for x in lines if x.rstrip()[-1] not in ".!?") / max(1, len(lines)), sum(c for w, c in counts.items() if len(w) <= 3) / n, sum(map(str.istitle, words)) / n,
-        sum(c for w, c in counts.items() if w[-1] in ".!?") / n, sum(c for w, c in counts.items() if len(w) >= 15) / n,
-    ]
+def bucket(word: str) -> int:
+    return zlib.crc32(word.encode("utf-8", "surrogatepass")) % BUCKETS
+
+
+def word_statistics(w: str) -> tuple:
+    """What a word adds to the sums over a text: letters, digits, upper case, marks, pipes, loud runs; short, capital, sentence end, long."""
+    n, bare = len(w), w[:-1] if w[-1] in ".,;:!?" else w
+    if bare.isalpha():  # letters, and a plain mark at most
+        return len(bare), 0, 0 if bare.islower() else len(_UPPER.findall(bare)), 0, 0, 0, n <= 3, bare.istitle(), w[-1] in ".!?", n >= 15
+    found = [len(x.findall(w)) for x in (_LETTERS, _DIGITS, _UPPER, _MARKS)]
+    return *found, w.count("|"), len(_LOUD.findall(w)), n <= 3, w.istitle(), w[-1] in ".!?", n >= 15
 
 
 class Features:
-    """Words to buckets; remembers words it has met."""
+    """Texts to (word buckets, statistics); remembers words it has met."""
 
-    def __init__(self):
+    def __init__(self, metadata: tuple[str, ...] = ()):
+        self.metadata = metadata
         self.at: dict[str, int] = {}
-
-    def __call__(self, text: str | None) -> tuple[np.ndarray, list[float]]:
+        self.sums = np.zeros((KEPT_WORDS, 10), np.float32)
+        self.buckets = np.zeros(KEPT_WORDS, np.int64)
+
+    def places(self, words: list[str]) -> list[int]:
+        found = list(map(self.at.get, words))
+        if None in found:
+            new = [w for w, f in zip(words, found) if f is None]
+            if len(self.at) + len(new) > len(self.buckets):
+                self.at.clear()
+                new = words
+                if len(new) > len(self.buckets):  # one text with more distinct words than are kept
+                    self.sums, self.buckets = np.zeros((len(new), 10), np.float32), np.zeros(len(new), np.int64)
+            start = len(self.at)
+            self.sums[start : start + len(new)] = [word_statistics(w) for w in new]
+            self.buckets[start : start + len(new)] = [bucket(w.lower()) for w in new]
+            self.at.update(zip(new, range(start, start + len(new))))
+            found = list(map(self.at.get, words))
+        return found
+
+    def __call__(self, text: str | None, values: tuple = ()) -> tuple[np.ndarray, list[float]]:
+        """Distinct buckets of the words (and of metadata values), and the statistics in the order of ``STATISTICS``; zeros for empty texts."""
         text = text or ""
-        words = text.split()
+        words, chars = text.split(), len(text)
+        more = [bucket(f"{c}\0{v}") for c, v in zip(self.metadata, values)]
+        if not words:
+            return np.unique(np.array(more, np.int64)), [math.log1p(chars)] + [0.0] * (len(STATISTICS) - 1)
         counts = Counter(words)
-        if len(self.at) > KEPT_WORDS:
-            self.at.clear()
-        out, at = set(), self.at
-        for w in counts:
-            if (b := at.get(w)) is None:
-                b = at[w] = zlib.crc32(w.lower().encode("utf-8", "surrogatepass")) % BUCKETS
-            out.add(b)
-        return np.fromiter(out, np.int64, len(out)), statistics(text, words, counts)
+        at = self.places(list(counts))
+        times = np.fromiter(counts.values(), np.float64, len(counts))
+        letters, digits, upper, marks, pipes, loud, short, capital, ends, long_ = (times @ self.sums[at]).tolist()
+        n = len(words)
+        lines = [x for x in text.split("\n") if x.strip()]
+        stats = [
+            math.log1p(chars), math.log1p(n), (chars - n) / n, len(counts) / n, float(times.max()) / n,
+            sum(map(str.__eq__, words, words[1:])) / n, len(set(zip(words, words[1:]))) / n, letters / chars, digits / chars, upper / chars,
+            marks / n, pipes / n, loud / n, len(lines) / n, 1 - len(set(lines)) / max(1, len(lines)),
+            sum(1 for x in lines if x.rstrip()[-1] not in ".!?") / max(1, len(lines)), short / n, capital / n, ends / n, long_ / n,
+        ]
+        return np.unique(np.concatenate([self.buckets[at], np.array(more, np.int64)])), stats
 
 
 @dataclass
@@ -81,6 +105,7 @@ class Machine:
     w: np.ndarray
     v: np.ndarray
     prior: float = 0.0
+    metadata: tuple[str, ...] = ()
 
     def sparse(self, words: np.ndarray, stats: list[float]) -> tuple[np.ndarray, np.ndarray]:
         s = np.asarray(stats)
@@ -100,31 +125,45 @@ class Machine:
         return 1 / (1 + math.exp(-max(-40.0, min(40.0, self.logit(*self.sparse(words, stats))[0] + self.prior))))
 
 
-def fit(rows: list[tuple[np.ndarray, list[float]]], y: np.ndarray) -> Machine:
-    stats = np.array([s for _, s in rows])
-    k = stats.shape[1]
-    rng = np.random.default_rng(SEED)
+    def gradients(self, data: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+        """(features met, gradients of w and v there, gradient of w0) of the weighted mean log loss."""
+        all_ids, gw, gv, g0 = [], [], [], 0.0
+        for (ids, x), truth, share in zip(data, y, weight):
+            z, total = self.logit(ids, x)
+            g = (1 / (1 + math.exp(-max(-30.0, min(30.0, z)))) - truth) * share / len(data)
+            all_ids.append(ids)
+            gw.append(g * x)
+            gv.append(g * x[:, None] * (total - self.v[ids] * x[:, None]))
+            g0 += g
+        ids, back = np.unique(np.concatenate(all_ids), return_inverse=True)
+        dv = np.zeros((len(ids), self.v.shape[1]))
+        np.add.at(dv, back, np.concatenate(gv))
+        return ids, np.bincount(back, np.concatenate(gw), len(ids)), dv, g0
+
+
+def blank(stats: np.ndarray | None = None) -> Machine:
+    """A machine before its fit; without statistics one whose scores are all alike."""
+    k = len(STATISTICS)
     n = BUCKETS + k + k * BINS
-    m = Machine(stats.mean(0), stats.std(0) + 1e-9, np.quantile(stats, np.arange(1, BINS) / BINS, axis=0).T, 0.0, np.zeros(n), rng.normal(0, 0.05, (n, RANK)))
+    if stats is None:
+        return Machine(np.zeros(k), np.ones(k), np.zeros((k, BINS - 1)), 0.0, np.zeros(n), np.zeros((n, RANK)))
+    v = np.random.default_rng(SEED).normal(0, 0.05, (n, RANK))
+    return Machine(stats.mean(0), stats.std(0) + 1e-9, np.quantile(stats, np.arange(1, BINS) / BINS, axis=0).T, 0.0, np.zeros(n), v)
+
+
+def fit(rows: list[tuple[np.ndarray, list[float]]], y: np.ndarray) -> Machine:
+    """Adagrad with weight decay; both classes weigh alike."""
+    m = blank(np.array([s for _, s in rows]))
+    rng = np.random.default_rng(SEED + 1)
     data = [m.sparse(*r) for r in rows]
     weight = np.where(y == 1, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9))
-    sw, sv, s0 = np.full(n, 1e-3), np.full((n, RANK), 1e-3), 1e-3
+    sw, sv, s0 = np.full(len(m.w), 1e-3), np.full(m.v.shape, 1e-3), 1e-3
     for _ in range(EPOCHS):
         order = rng.permutation(len(data))
         for at in range(0, len(order), BATCH):
             batch = order[at : at + BATCH]
-            all_ids, gw, gv, g0 = [], [], [], 0.0
-            for i in batch:
-                ids, x = data[i]
-                z, total = m.logit(ids, x)
-                g = (1 / (1 + math.exp(-max(-30.0, min(30.0, z)))) - y[i]) * weight[i] / len(batch)
-                all_ids.append(ids)
-                gw.append(g * x)
-                gv.append(g * x[:, None] * (total - m.v[ids] * x[:, None]))
-                g0 += g
-            ids, back = np.unique(np.concatenate(all_ids), return_inverse=True)
-            dw, dv = np.bincount(back, np.concatenate(gw), len(ids)) + DECAY * m.w[ids], np.zeros((len(ids), RANK))
-            np.add.at(dv, back, np.concatenate(gv))
+            ids, dw, dv, g0 = m.gradients([data[i] for i in batch], y[batch], weight[batch])
+            dw += DECAY * m.w[ids]
             dv += DECAY * m.v[ids]
             sw[ids] += dw * dw
             sv[ids] += dv * dv
@@ -135,36 +174,58 @@ def fit(rows: list[tuple[np.ndarray, list[float]]], y: np.ndarray) -> Machine:
     return m
 
 
-def train(docs: DataFrame, labels: DataFrame, usable: Column, most: dict[int, int] | None = None) -> Machine:
-    """Without both classes every score is 0.5, or near the one class there is."""
-    rows, counts = labelled_sample(docs, labels, "quality", usable, most or SAMPLE)
+def train(docs: DataFrame, labels: DataFrame, usable: Column, most: dict[int, int] | None = None, metadata: tuple[str, ...] = ()) -> Machine:
+    """Fits on a sample of the labelled documents; without both classes every score is 0.5, or near the one class there is.
+
+    Null texts count as empty; see labelled_sample() for null and repeated ids and odd labels; ``metadata`` names columns of
+    ``docs`` whose values become features.
+    """
+    rows, counts = labelled_sample(docs, labels, "quality", usable, most or SAMPLE, metadata)
     y = np.array([r.y for r in rows], np.int64)
-    features = Features()
+    features = Features(metadata)
     if len(set(y)) < 2:
-        k = len(STATISTICS)
-        n = BUCKETS + k + k * BINS
-        return Machine(np.zeros(k), np.ones(k), np.zeros((k, BINS - 1)), 0.0, np.zeros(n), np.zeros((n, RANK)), 0.0 if not len(y) else (30.0 if y[0] else -30.0))
-    m = fit([features(r.text) for r in rows], y)
-    m.prior = float(np.log(counts[1] / counts[0]))  # the fit weighs both classes alike
+        m = blank()
+        m.prior = 0.0 if not len(y) else (30.0 if y[0] else -30.0)
+    else:
+        m = fit([features(r.text, tuple(r.more)) for r in rows], y)
+        m.prior = float(np.log(counts[1] / counts[0]))  # the fit weighs both classes alike
+    m.metadata = metadata
     return m
 
 
-def scored(docs: DataFrame, model: Machine, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Columns to ``keep`` and score, one row for each of ``docs``; whole texts; null texts count as empty; an empty table gives no rows."""
+def scored(docs: DataFrame, model: Machine, keep: tuple[str, ...] | None = None) -> DataFrame:
+    """``row`` (a struct of all columns, or of those to ``keep``) and score, one for each of ``docs``.
+
+    Whole texts, very long ones too; null texts count as empty; repeated rows come back as often; columns of any name are
+    safe inside the struct; an empty table gives no rows.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)  # a fixed size
-    kinds = dict(docs.dtypes)
+    cols = docs.select(packed_row(docs, keep), F.col("text").alias("t"), F.array(*(F.col(f"`{c}`").cast("string") for c in model.metadata)).cast("array<string>").alias("more"))
 
     def run(batches):
-        features, m = Features(), sent.value
+        m = sent.value
+        features = Features(m.metadata)
         for b in batches:
-            yield {c: b.column(c) for c in keep} | {"score": [m.score(*features(t.as_py())) for t in b.column("text")]}
+            yield {"row": b.column("row"), "score": [m.score(*features(t.as_py(), v.as_py())) for t, v in zip(b.column("t"), b.column("more"))]}
 
-    form = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "score double"])
-    return mapped(docs.select(*dict.fromkeys([*keep, "text"])), run, form)
+    return mapped(cols, run, f"row {dict(cols.dtypes)['row']}, score double")
 
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted; labels of held-out documents (crc32(doc_id) mod 3 = 1) are never learnt."""
+    """doc_id, held_out, score, predicted for every row of ``docs``; labels of held-out documents (crc32(doc_id) mod 3 = 1) are never learnt.
+
+    Null and empty texts have the score of no words; a null doc_id is not held out and has no label; repeated rows and ids
+    come back as often; an empty table gives no rows; no labels give the score 0.5; other columns are ignored.
+    """
     model = train(docs, labels, crc_of_id() % 3 != 1)
-    held = F.coalesce(crc_of_id() % 3 == 1, F.lit(False)).alias("held_out")
-    return scored(docs, model).select("doc_id", held, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    out = scored(docs, model, ("doc_id",)).select("row.doc_id", "score")
+    return out.select("doc_id", F.coalesce(crc_of_id() % 3 == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def kept(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` whose quality score is ``least`` or more, with all their columns.
+
+    Every label is used.  Null and empty texts have the score of no words; repeated rows share their fate; rows with null ids
+    are scored like others; columns may have any names; an empty table gives no rows.
+    """
+    return scored(docs, train(docs, labels, F.lit(True))).where(F.col("score") >= least).select("row.*")
