@@ -3,11 +3,12 @@
 Unit vectors are projected on ``PROJECTIONS`` random lines.  On each line the values are sorted, every vector opens a
 window of half-width ``WINDOW`` times the largest distance of a linked pair around its own value, and a pair collides
 when one lies in the other's window.  A pair at the threshold collides on each line with a known chance, so the count
-needed follows from the binomial law at recall ``RECALL``; pairs that reach it are verified by exact cosine.
+needed follows from the binomial law; pairs that reach it are verified by exact cosine.
 
-Vectors meet only within their label.  A label of more than ``BLOCK`` distinct vectors is dealt by a few leading
-projections into cells, in as many tables as the same recall asks for, so the work per vector grows far slower than
-the label; a cell that is still larger is split into block pairs of bounded size.  Equal vectors are one row with a
+Vectors meet only within their label.  A label of more than two blocks of distinct vectors is dealt by a few leading
+projections into cells, in as many tables as the recall asks for, so the work per vector grows far slower than the label.
+A pair at the threshold can so be missed twice, by the cells and by the count: each step is calibrated to the root of
+``RECALL``, so the product reaches it at every size.  A cell that is still larger is split into block pairs of bounded size.  Equal vectors are one row with a
 count, so copies are never expanded.
 """
 
@@ -22,13 +23,14 @@ from pyspark.sql import functions as F
 
 from .common import components, local_roots, runs_of, unsigned_mod, written
 
-PROJECTIONS = 48
-WINDOW = 1.5  # half-width of a window, in distances of a pair at the threshold
-RECALL = 0.9999  # for pairs exactly at the threshold; closer pairs exceed it
+PROJECTIONS = 16
+WINDOW = 3.0  # half-width of a window, in distances of a pair at the threshold
+RECALL = 0.9999  # of both steps together, for pairs exactly at the threshold; closer pairs exceed it
+STEP_RECALL = math.sqrt(RECALL)
 BLOCK = 4096  # vectors in a block
 LEAD_WIDTH = 4.0  # width of a leading cell, in distances of a pair at the threshold
 SEED = 7
-TILE = 256
+TILE = 64
 
 
 def usable(v: Column) -> Column:
@@ -43,7 +45,7 @@ def unit(v: np.ndarray) -> np.ndarray:
     return v / np.sqrt((v * v).sum(1, keepdims=True))
 
 
-def needed(recall: float = RECALL) -> int:
+def needed(recall: float = STEP_RECALL) -> int:
     """Largest count that a pair at the threshold reaches with chance ``recall``."""
     p = math.erf(WINDOW / math.sqrt(2))
     tail = 0.0
@@ -71,7 +73,7 @@ def lead_plan(n: int, threshold: float, block: int) -> tuple[int, int]:
         return 0, 1
     near, far = lead_chances(threshold)
     k = max(1, math.ceil(math.log(n / block) / math.log(1 / far)))
-    tables = max(1, math.ceil(math.log(1 - RECALL) / math.log1p(-(near**k))))
+    tables = max(1, math.ceil(math.log(1 - STEP_RECALL) / math.log1p(-(near**k))))
     return (0, 1) if tables * far**k > 0.5 else (k, tables)
 
 
@@ -85,12 +87,17 @@ def collisions(p: np.ndarray, w: float, a: slice, b: slice):
         rank[k, order] = np.arange(n)
         low[k] = np.searchsorted(line, p[:, k] - w, "left")
         wide[k] = np.searchsorted(line, p[:, k] + w, "right") - low[k]
+    room, hits = np.empty(TILE * n, np.uint16), np.empty(TILE * n, bool)
     for at in range(a.start, a.stop, TILE):
         q = slice(at, min(at + TILE, a.stop))
         first = max(b.start, q.start) if a == b else b.start  # pairs within a block once
-        count = np.zeros((q.stop - q.start, b.stop - first), np.uint8)
+        shape = (q.stop - q.start, b.stop - first)
+        count = np.zeros(shape, np.uint8)
+        off, hit = (x[: shape[0] * shape[1]].reshape(shape) for x in (room, hits))
         for k in range(m):
-            count += (rank[k, first : b.stop] - low[k, q, None]) < wide[k, q, None]
+            np.subtract(rank[k, None, first : b.stop], low[k, q, None], out=off)
+            np.less(off, wide[k, q, None], out=hit)
+            count += hit.view(np.uint8)
         yield q.start, first, count
 
 
