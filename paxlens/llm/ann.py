@@ -5,7 +5,8 @@ cells in the order of their estimated success, the sum of squared distances from
 slabs, produced by a heap over sorted per-line perturbations.  The number of cells visited is fitted on a bounded
 sample so that recall of the ten nearest reaches ``TARGET`` there; where ``PROBES`` cells don't reach it the index gets
 fewer lines, so larger cells, down to none, which is one cell of all rows.  Candidates of all tables are merged and
-ranked by exact Euclidean distance in double precision.  Every row is indexed.  Queries whose cells held fewer than k
+ranked by exact Euclidean distance in double precision (a matrix product picks them with room for its rounding).  Every
+row is indexed.  Queries whose cells held fewer than k
 candidates, such as those off the bulk, are compared with all rows, block by block.
 """
 
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import unsigned_mod, written
+from .common import runs_of, unsigned_mod, written
 from .embedding_dedup import usable
 
 TABLES = 3
@@ -33,6 +34,8 @@ REACH = 4  # largest perturbation on a line
 PROBES = 600  # cells of a table tried before the index gets fewer lines
 CELL = 500  # rows of a cell aimed at
 BLOCK = 4096  # rows of a cell in one block, of the index and of queries
+PRODUCT = 1 << 21  # distances worked out at once
+ROUNDING = 1e-9  # of the squared norms, more than a double's product of vectors can be off
 SEED = 11
 
 
@@ -105,12 +108,13 @@ class Index:
         return most, float((ranks < most).mean())
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, exact: bool = False) -> DataFrame:
     """query_id, rank, vec_id, score: for each query row its ``k`` nearest of ``vectors`` (vec_id, embedding), itself apart.
 
     A query's own row is the one with its id.  Vectors that are null, zero or hold null or non-finite components, and rows
-    with null ids, take no part; vectors of another length are no candidates; repeated rows count as one; ties go to the
-    smaller id.  Fewer candidates give fewer rows; empty tables give none; other columns are ignored.
+    with null ids, take no part; vectors of another length are no candidates; repeated rows count as one, and of queries with
+    one id the least vector asks; ties go to the smaller id.  Fewer candidates give fewer rows; empty tables give none; other
+    columns are ignored.  ``exact`` compares every query with every row, block by block, as a measure of recall.
     """
     spark = vectors.sparkSession
     pick = lambda df: df.select("vec_id", F.col("embedding").cast("array<double>").alias("v")).where(F.col("vec_id").isNotNull() & usable(F.col("v")))
@@ -118,12 +122,14 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     # of equal vectors only the first k + 1 ids can be among anyone's k nearest
     rank = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
     rows = written(rows.withColumn("r", rank).where(F.col("r") <= k + 1).drop("r").withColumn("dim", F.size("v")), "ann-rows")
-    asked = written(pick(queries).dropDuplicates().withColumn("dim", F.size("v")), "ann-queries")
+    asked = written(pick(queries).groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v")), "ann-queries")
     parts = []
     for dim, n in rows.groupBy("dim").count().orderBy("dim").collect():  # lengths, one in a sound table
-        own = rows.where(F.col("dim") == dim)
+        own, ask = rows.where(F.col("dim") == dim), asked.where(F.col("dim") == dim)
         sample = own.orderBy(F.xxhash64("vec_id", F.lit(SEED)), "vec_id").limit(SAMPLE).select("v").toPandas()
-        ask, index = asked.where(F.col("dim") == dim), Index(np.stack(sample.v.to_numpy()), n, k)
+        index = Index(np.stack(sample.v.to_numpy()), n, k)
+        if exact:
+            index.draw(dim, 0)
         found = written(_best(_search(own, ask, index, k), k), "ann-found")
         parts.append(found)
         if index.lines:
@@ -142,6 +148,13 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     return _best(found, k).withColumn("rank", F.row_number().over(last)).select("query_id", "rank", "vec_id", "score")
 
 
+def recall(found: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = 10) -> float:
+    """Share of the true ``k`` nearest, by comparison with every row, that ``found`` holds; 1 where there are none."""
+    true = nearest(vectors, queries, k, exact=True).select("query_id", "vec_id")
+    both = true.join(found.select("query_id", "vec_id", F.lit(1).alias("hit")), ["query_id", "vec_id"], "left")
+    return both.agg(F.avg(F.coalesce("hit", F.lit(0)))).first()[0] or 1.0
+
+
 def _best(found: DataFrame, k: int) -> DataFrame:
     last = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.distinct().withColumn("rank", F.row_number().over(last)).where(F.col("rank") <= k).drop("rank")
@@ -159,47 +172,76 @@ def _search(rows: DataFrame, asked: DataFrame, index: Index, k: int) -> DataFram
 
     def visiting(batches):
         for pdf in batches:
-            for t in range(index.tables):
-                cells = [index.key(index.visited(index.place(np.asarray(v)[None], t)[0], index.most), t) for v in pdf.v]
-                if cells:
-                    yield pd.DataFrame({"query_id": pdf.vec_id, "q": pdf.v, "cell": cells}).explode("cell").astype({"cell": "int64"})
+            for i, v in zip(pdf.vec_id, pdf.v):
+                q = np.asarray(v)[None]
+                cells = np.unique(np.concatenate([index.key(index.visited(index.place(q, t)[0], index.most), t) for t in range(index.tables)]))
+                yield pd.DataFrame({"query_id": np.repeat(np.asarray([i]), len(cells)), "cell": cells})
 
     there = written(rows.mapInPandas(placed, f"vec_id {kind}, v array<double>, cell long"), "ann-index")
-    asks = written(asked.mapInPandas(visiting, f"query_id {kind}, q array<double>, cell long").dropDuplicates(["query_id", "cell"]), "ann-asks")
+    asks = written(asked.mapInPandas(visiting, f"query_id {kind}, cell long"), "ann-asks")
     sizes = there.groupBy("cell").agg(F.count("*").alias("n"))
     sizes = sizes.join(asks.groupBy("cell").agg(F.count("*").alias("m")), "cell")
     sizes = sizes.select("cell", "n", "m", F.ceil(F.col("n") / BLOCK).cast("int").alias("xs"), F.ceil(F.col("m") / BLOCK).cast("int").alias("ys"))
     sizes = written(sizes, "ann-cells")
-    met = sizes.agg(F.sum(F.col("n") * F.col("ys") + F.col("m") * F.col("xs"))).first()[0] or 0
-    sizes = sizes.drop("n", "m")
-    # a crowded cell is met block by block: each index block with each block of queries
+    met = sizes.agg(F.sum(F.col("n") * F.col("ys"))).first()[0] or 0
+    bins = max(1, -(-met // (2 * BLOCK)))
+    # a crowded cell is met block by block: each index block with each block of queries; such a meeting is a spot
+    spot, bin_ = F.xxhash64("cell", "x", "y").alias("spot"), unsigned_mod(F.xxhash64("cell", "x", "y"), bins).alias("bin")
     left = there.join(sizes, "cell").withColumn("x", unsigned_mod(F.xxhash64("vec_id"), F.col("xs")).cast("int"))
     left = left.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("ys") - 1)))
     right = asks.join(sizes, "cell").withColumn("y", unsigned_mod(F.xxhash64("query_id"), F.col("ys")).cast("int"))
     right = right.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("xs") - 1)))
-    bins = max(1, -(-met // (2 * BLOCK)))
-    bin_ = unsigned_mod(F.xxhash64("cell", "x", "y"), bins).alias("bin")
+    # cells travel as ids; a query's vector joins them once for each bin, however many of its cells fall there
+    right = right.groupBy("query_id", bin_).agg(F.collect_list(spot).alias("spots"))
+    right = right.join(asked.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id")
 
     def ranked(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        qs, vs, ds = [], [], []
-        there = {key: g for key, g in a.groupby(["cell", "x", "y"], sort=False)} if len(b) else {}
-        for key, g in b.groupby(["cell", "x", "y"], sort=False):
-            if (c := there.get(key)) is None:
-                continue
-            v, ids = np.stack(c.v.to_numpy()), c.vec_id.to_numpy()
-            for i, q in zip(g.query_id.to_numpy(), g.q.to_numpy()):
-                d = np.sqrt(((v - np.asarray(q)) ** 2).sum(1))
-                d[ids == i] = np.inf
-                most = min(k, len(d) - 1)
-                near = np.flatnonzero(d <= np.partition(d, most)[most]) if len(d) > k else np.arange(len(d))
-                near = near[np.lexsort((ids[near], d[near]))][:k]
-                near = near[d[near] < np.inf]
-                qs.append(np.repeat(np.asarray([i]), len(near)))
-                vs.append(ids[near])
-                ds.append(d[near])
-        join = lambda x: np.concatenate(x) if x else []
-        return pd.DataFrame({"query_id": join(qs), "vec_id": join(vs), "score": join(ds)})
+        none = pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+        if not len(a) or not len(b):
+            return none
+        a = a.sort_values("spot", ignore_index=True)
+        v, ids, q, who = np.stack(a.v.to_numpy()), a.vec_id.to_numpy(), np.stack(b.q.to_numpy()), b.query_id.to_numpy()
+        asks = np.repeat(np.arange(len(b)), b.spots.map(len))
+        spots = np.concatenate(b.spots.to_numpy())
+        order = np.argsort(spots, kind="stable")
+        asks, spots = asks[order], spots[order]
+        starts = runs_of(a.spot.to_numpy())
+        begin, end = (np.searchsorted(spots, a.spot.to_numpy()[starts[:-1]], side) for side in ("left", "right"))
+        nv, nq = (v * v).sum(1), (q * q).sum(1)
+        out_q, out_v, out_d = [], [], []
+        for s, e, f, t in zip(starts[:-1], starts[1:], begin, end):
+            for at in range(f, t, max(1, PRODUCT // (e - s))):
+                some = asks[at : min(t, at + max(1, PRODUCT // (e - s)))]
+                i, j = _near(q[some], nq[some], who[some], v[s:e], nv[s:e], ids[s:e], k)
+                d = np.sqrt(((v[s + j] - q[some[i]]) ** 2).sum(1))
+                out_q.append(some[i])
+                out_v.append(s + j)
+                out_d.append(d)
+        if not out_q:
+            return none
+        i, j, d = map(np.concatenate, (out_q, out_v, out_d))
+        order = np.lexsort((ids[j], d, i))
+        i, j, d = i[order], j[order], d[order]
+        new = np.ones(len(i), bool)
+        new[1:] = (i[1:] != i[:-1]) | (ids[j[1:]] != ids[j[:-1]]) | (d[1:] != d[:-1])  # met in several tables
+        i, j, d = i[new], j[new], d[new]
+        first = runs_of(i)
+        keep = np.arange(len(i)) - np.repeat(first[:-1], np.diff(first)) < k
+        return pd.DataFrame({"query_id": who[i[keep]], "vec_id": ids[j[keep]], "score": d[keep]})
 
     form = T._parse_datatype_string(f"query_id {kind}, vec_id {kind}, score double")
-    a, b = left.select(bin_, "cell", "x", "y", "vec_id", "v"), right.select(bin_, "cell", "x", "y", "query_id", "q")
+    a, b = left.select(bin_, spot, "vec_id", "v"), right.select(F.col("bin"), "query_id", "q", "spots")
     return a.groupBy("bin").cogroup(b.groupBy("bin")).applyInPandas(ranked, form)
+
+
+def _near(q: np.ndarray, nq: np.ndarray, who: np.ndarray, v: np.ndarray, nv: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (query, row) that hold each query's k nearest rows, its own apart: one matrix product, and what rounding leaves open beside."""
+    with np.errstate(all="ignore"):  # squares of huge components may overflow; such pairs stay
+        d = nq[:, None] + nv[None] - 2 * (q @ v.T)
+        slack = ROUNDING * (nq + nv.max())
+    own = who[:, None] == ids[None]
+    if len(v) > k + 1:
+        d[own] = np.inf
+        near = ~(d > np.partition(d, k - 1, axis=1)[:, k - 1 : k] + slack[:, None])
+        return np.nonzero(near & ~own)
+    return np.nonzero(~own)
