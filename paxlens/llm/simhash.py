@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, dropped, local_roots, mapped, pairs_in_runs, runs_of, unsigned_mod, written
+from .common import components, dropped, local_roots, mapped, packed_row, pairs_in_runs, runs_of, unsigned_mod, written
 
 PIVOTS = 32  # 64-bit reference fingerprints
 RANGE_PIVOTS = 24  # references for each bit range
@@ -176,21 +176,23 @@ def deduplicated(docs: DataFrame, bits: int = 4, words: int = 4) -> DataFrame:
     """Exactly one row of ``docs`` for each near-duplicate group: the one with the smallest doc_id, null last.
 
     Of a group's rows with this id (a null or repeated one) the one with the least hash of the whole row stays, so
-    rows with null or repeated ids are kept or dropped by their texts like any others; of equal rows one stays.
+    rows with null or repeated ids are kept or dropped by their texts like any others; of equal rows one stays.  Null and
+    empty texts have fingerprint zero and are one group; columns may have any names; an empty table gives no rows.
     """
-    keyed = docs.withColumn("_row", F.xxhash64(*docs.columns, *(F.col(c).isNull() for c in docs.columns)))  # a null alone leaves the hash as it was
-    rows = written(fingerprints(keyed, words, ("doc_id", "_row")), "simhash-rows")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("nil"), "doc_id", "_row")).alias("least")
+    plain = lambda c, kind: F.map_entries(F.col(f"`{c}`")) if kind.startswith("map<") else F.col(f"`{c}`")
+    values = [x for c, kind in docs.dtypes for x in (plain(c, kind), F.col(f"`{c}`").isNull())]  # a null alone leaves the hash as it was
+    keyed = docs.select(packed_row(docs), "doc_id", "text", F.xxhash64(*values).alias("hash"))
+    rows = written(fingerprints(keyed, words, ("doc_id", "hash")), "simhash-rows")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nil"), "doc_id", "hash")).alias("least")
     distinct = written(rows.groupBy("fp").agg(first), "simhash-distinct", rows.count())
     nodes, links = grouped(distinct, bits)
-    keep = nodes.groupBy("component").agg(F.min("least").alias("m")).select(F.col("m.doc_id").alias("_keep"), F.col("m._row").alias("_kept"))
+    keep = nodes.groupBy("component").agg(F.min("least").alias("m")).select(F.col("m.doc_id").alias("keep"), F.col("m.hash").alias("kept"))
     keep = written(keep.distinct(), "simhash-keep")
     dropped(links)
-    is_ = lambda other: keyed.doc_id.eqNullSafe(other._keep) & (keyed._row == other._kept)
-    repeated = rows.groupBy(F.col("doc_id").alias("_keep"), F.col("_row").alias("_kept")).count().where("count > 1").drop("count")
+    is_ = lambda other: keyed.doc_id.eqNullSafe(other.keep) & (keyed.hash == other.kept)
+    repeated = rows.groupBy(F.col("doc_id").alias("keep"), F.col("hash").alias("kept")).count().where("count > 1").drop("count")
     repeated = written(repeated, "simhash-repeated")
     out = keyed.join(keep, is_(keep), "left_semi")
-    once = out.join(repeated, is_(repeated), "left_anti").drop("_row")
-    twice = out.join(repeated, is_(repeated), "left_semi")
-    rest = twice.groupBy("doc_id", "_row").agg(F.min(F.struct(*docs.columns)).alias("m"))
-    return once.unionByName(rest.select("m.*"))
+    once = out.join(repeated, is_(repeated), "left_anti").select("row")
+    twice = out.join(repeated, is_(repeated), "left_semi").groupBy("doc_id", "hash").agg(F.first("row").alias("row"))  # equal rows
+    return once.unionByName(twice.select("row")).select("row.*")
