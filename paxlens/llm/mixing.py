@@ -47,8 +47,8 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float =
     """doc_id, source, size, source_size, target, taken for every row.
 
     Sources stand by code point, null last.  ``taken`` is how many of its words the mix takes, repeats counted: ``size``
-    for each whole epoch, and in the last epoch what the budget leaves.  Null texts have size 0 and give nothing; null
-    doc_ids have keys of their own; repeated rows are documents of their own; an empty table gives no rows.  Per-source
+    for each whole epoch, and in the last epoch what the budget leaves.  Null texts have size 0 and give nothing; rows with
+    null doc_ids are keyed by their texts; repeated rows are documents of their own; an empty table gives no rows.  Per-source
     budgets (one row a source) are worked out on the driver; sources must number far fewer than documents.
     """
     return _mixed(docs, weights, share, epochs, [])
@@ -58,7 +58,7 @@ def _mixed(docs: DataFrame, weights: tuple[float, ...], share: float, epochs: fl
     """mixed(), with the columns to ``keep`` as one struct ``row``, so that no name clashes."""
     cols = ["doc_id", "source", *(["row"] if keep else [])]
     docs = docs.select("doc_id", "source", "text", *([F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row")] if keep else []))
-    base = docs.select(*cols, words(F.col("text")).alias("size"), F.md5(F.concat_ws("|", F.lit(SALT), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary")).alias("key"))
+    base = docs.select(*cols, words(F.col("text")).alias("size"), F.md5(F.concat_ws("|", F.lit(SALT), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null|"), F.md5(F.coalesce("text", F.lit("")).cast("binary"))))).cast("binary")).alias("key"))
     base = base.withColumn("range", F.substring("key", 1, KEY_DIGITS))
     ranges = written(base.groupBy("source", "range").agg(F.sum("size").alias("range_size")), "mix-ranges")
     found = ranges.groupBy("source").agg(F.sum("range_size").alias("n")).collect()
@@ -82,7 +82,9 @@ def _mixed(docs: DataFrame, weights: tuple[float, ...], share: float, epochs: fl
 def mixture(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, epochs: float = EPOCHS) -> DataFrame:
     """The mix as rows of ``docs``: a document as often as whole epochs take it, and once more cut to the words taken in part.
 
-    Columns are those of ``docs``; n_chars, where there is one, follows a cut text.  Documents without words are not in it.
+    Columns are those of ``docs``, whatever their names; n_chars, where there is one, follows a cut text.  Documents without
+    words, null texts among them, are not in it; rows with null ids and repeated rows are documents of their own; an empty
+    table gives no rows.
     """
     rows = _mixed(docs, weights, share, epochs, docs.columns).where("taken > 0")
     times = F.ceil(F.col("taken") / F.col("size")).cast("int")

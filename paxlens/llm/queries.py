@@ -92,7 +92,7 @@ from d""",
     "op8_mixing": f"""
 with d as (
   select doc_id, source, coalesce(len(regexp_extract_all(text, '{WORD}')), 0)::bigint as size,
-    md5('mix|' || coalesce(doc_id::varchar, 'null')) as key
+    md5('mix|' || coalesce(doc_id::varchar, 'null|' || md5(coalesce(text, '')))) as key
   from documents
 ), s as (
   select source, sum(size)::bigint as n, ([3, 1, 2])[1 + (row_number() over (order by encode(source) nulls last) - 1) % 3]::double as w from d group by source
