@@ -7,7 +7,6 @@ stage's documents.  All stages but the last return the columns of documents.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from paxlens.llm import mixing, packing, quality, simhash, toxicity
 from paxlens.llm.common import read, written
@@ -15,29 +14,27 @@ from paxlens.llm.tokens import public_path
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents whose quality score is below one half."""
-    model = quality.train(docs, read(spark, sf_dir, "labels"), F.lit(True))
-    return quality.scored(docs, model, tuple(docs.columns)).where("score >= 0.5").select(*docs.columns)
+    """Drops documents whose quality score is below one half; nulls, empty and repeated rows: see quality.kept()."""
+    return quality.kept(docs, read(spark, sf_dir, "labels"))
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents whose toxicity score reaches their language's threshold."""
-    model = toxicity.train(docs, read(spark, sf_dir, "labels"), F.lit(True))
-    return toxicity.scored(docs, model, tuple(docs.columns)).where(~F.col("toxic")).select(*docs.columns)
+    """Drops documents whose toxicity score reaches their language's threshold; nulls, empty and repeated rows: see toxicity.kept()."""
+    return toxicity.kept(docs, read(spark, sf_dir, "labels"))
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each near-duplicate group."""
+    """Keeps one document of each near-duplicate group; null and empty texts are one group, see simhash.deduplicated()."""
     return simhash.deduplicated(docs, bits=4, words=4)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mixture: documents repeated, cut or left out as the sources' budgets say."""
+    """The mixture: documents repeated, cut or left out as the sources' budgets say; null and empty texts give nothing, see mixing.mixture()."""
     return mixing.mixture(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of packed sequences."""
+    """Pieces of packed sequences; null and empty texts are the end id alone, see packing.packed()."""
     return packing.packed(docs, public_path("word_bpe_49k.json"))
 
 
