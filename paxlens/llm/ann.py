@@ -62,8 +62,12 @@ def probes(at: np.ndarray, most: int):
 class Index:
     """Hash functions fitted to a sample: lines, offsets, width, and how many cells a query visits in each table."""
 
-    def __init__(self, sample: np.ndarray, n: int, k_near: int):
+    def __init__(self, sample: np.ndarray, n: int, k_near: int, exact: bool = False):
         dim = sample.shape[1]
+        self.width, self.most, self.recall = 1.0, 1, 1.0
+        if exact:
+            self.draw(dim, 0)
+            return
         q = sample[:SAMPLE_QUERIES]
         d = ((q[:, None] - sample[None, : 2 * SAMPLE_QUERIES]) ** 2).sum(2) ** 0.5
         self.width = WIDTH * float(np.median(d[d > 0])) if (d > 0).any() else 1.0
@@ -127,9 +131,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, exact: bool = F
     for dim, n in rows.groupBy("dim").count().orderBy("dim").collect():  # lengths, one in a sound table
         own, ask = rows.where(F.col("dim") == dim), asked.where(F.col("dim") == dim)
         sample = own.orderBy(F.xxhash64("vec_id", F.lit(SEED)), "vec_id").limit(SAMPLE).select("v").toPandas()
-        index = Index(np.stack(sample.v.to_numpy()), n, k)
-        if exact:
-            index.draw(dim, 0)
+        index = Index(np.stack(sample.v.to_numpy()), n, k, exact)
         found = written(_best(_search(own, ask, index, k), k), "ann-found")
         parts.append(found)
         if index.lines:
