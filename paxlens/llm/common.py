@@ -18,8 +18,8 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return importable(spark).read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def mapped(df: DataFrame, run, form: str) -> DataFrame:
-    """mapInArrow for functions that yield columns: ``run`` gets record batches and yields dicts in the order of ``form``.
+def mapped(df: DataFrame, run, form) -> DataFrame:
+    """mapInArrow for functions that yield columns: ``run`` gets record batches and yields dicts in the order of ``form`` (DDL or a struct).
 
     Ids stay exact 64-bit integers also beside nulls, which pandas would turn into floats.
     """
@@ -27,7 +27,7 @@ def mapped(df: DataFrame, run, form: str) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
-    schema = to_arrow_schema(_parse_datatype_string(form))
+    schema = to_arrow_schema(_parse_datatype_string(form) if isinstance(form, str) else form)
 
     def convert(batches):
         for cols in run(batches):

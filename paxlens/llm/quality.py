@@ -18,6 +18,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import crc_of_id, mapped, packed_row
 from .toxicity import labelled_sample
@@ -208,7 +209,7 @@ def scored(docs: DataFrame, model: Machine, keep: tuple[str, ...] | None = None)
         for b in batches:
             yield {"row": b.column("row"), "score": [m.score(*features(t.as_py(), v.as_py())) for t, v in zip(b.column("t"), b.column("more"))]}
 
-    return mapped(cols, run, f"row {dict(cols.dtypes)['row']}, score double")
+    return mapped(cols, run, T.StructType([cols.schema["row"], T.StructField("score", T.DoubleType())]))
 
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:

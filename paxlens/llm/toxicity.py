@@ -15,6 +15,7 @@ from zlib import crc32
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import crc_of_id, mapped, packed_row, written
 
@@ -286,7 +287,6 @@ def scored(docs: DataFrame, model: Convolution, keep: tuple[str, ...] | None = N
     sent = docs.sparkSession.sparkContext.broadcast(model)  # a fixed size
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
     cols = docs.select(packed_row(docs, keep), "doc_id", lang.alias("lang"), F.col("text").alias("t"))
-    kinds = dict(cols.dtypes)
 
     def run(batches):
         scorer = Scorer(sent.value)
@@ -294,7 +294,7 @@ def scored(docs: DataFrame, model: Convolution, keep: tuple[str, ...] | None = N
             score = np.concatenate([scorer.scores(b.column("t").slice(k, 256).to_pylist()) for k in range(0, b.num_rows, 256)] or [np.zeros(0)])
             yield {c: b.column(c) for c in ("row", "doc_id", "lang")} | {"score": score}
 
-    return mapped(cols, run, f"row {kinds['row']}, doc_id {kinds['doc_id']}, lang string, score double")
+    return mapped(cols, run, T.StructType([*(cols.schema[c] for c in ("row", "doc_id", "lang")), T.StructField("score", T.DoubleType())]))
 
 
 def classified(docs: DataFrame, labels: DataFrame, usable: Column, keep: tuple[str, ...] | None = None) -> DataFrame:
