@@ -5,18 +5,24 @@ trees       package tree -> syntax trees (Parquet) and a failure report
 graphs      trees of a run before, or tree documents -> graphs (Parquet)
 features    graphs of a run before -> feature rows (Parquet and CSV) and a summary
 analyse     all of these at once
+report      feature rows of a run before -> the hits and headline features of --packages
+mine        package tree -> a model's answers (JSON lines), kept every few answers; goes on where a run broke off
+consolidate answers of a run before -> a rule file
 """
 
 from __future__ import annotations
 
 import argparse
+import importlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import reports, scripts
+from .functions import miner, reports, scripts
 from .operators import callgraph, jsparse, matching, merge
-from .rules.dsl import load_rules, shipped
+from .plans.packages import failures_of
+from .rules.dsl import load_rules, rules_frame, shipped
+from .session import written
 from .sources import graphs as documents
 from .sources import packages as scans
 
@@ -25,7 +31,7 @@ KEYS = ["package_id", "data_type", "rel_path"]
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="paxlens", description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
-    p.add_argument("stage", choices=("preprocess", "trees", "graphs", "features", "analyse"))
+    p.add_argument("stage", choices=("preprocess", "trees", "graphs", "features", "analyse", "report", "mine", "consolidate"))
     p.add_argument("--input-dir", required=True)
     p.add_argument("--output-dir", required=True)
     p.add_argument("--mode", choices=("classified", "direct"), default="classified", help="<root>/<type>/<package> or <root>/<package>")
@@ -38,6 +44,10 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--skip-existing", action="store_true", help="keep what the output folder already holds")
     p.add_argument("--preview", action="store_true", help="count packages and files, process nothing")
     p.add_argument("--no-report", action="store_true")
+    p.add_argument("--documents", action="store_true", help="also write graphs as JSON documents")
+    p.add_argument("--model", help="module:function that answers a prompt (mine) or consolidates (category, rules)")
+    p.add_argument("--pilot", type=int, default=0, help="mine: ask about so many samples only")
+    p.add_argument("--min-frequency", type=int, help="consolidate: samples that must show a rule")
     return p
 
 
@@ -61,13 +71,18 @@ def there(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+def save(df: DataFrame, path: str, mode: str = "overwrite") -> DataFrame:
+    """Writes a table and reads it back; those of single files are partitioned by data type."""
+    write = df.write.mode(mode)
+    (write.partitionBy("data_type") if "rel_path" in df.columns else write).parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def append(df: DataFrame, path: str, a: argparse.Namespace, keys: list[str]) -> DataFrame:
     """Writes a table; with --skip-existing only what is not there yet is made and added."""
     if a.skip_existing and there(df.sparkSession, path):
-        reports.not_done(df, df.sparkSession.read.parquet(path), keys).write.mode("append").parquet(path)
-    else:
-        df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
+        return save(reports.not_done(df, df.sparkSession.read.parquet(path), keys), path, "append")
+    return save(df, path)
 
 
 def trees(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
@@ -76,8 +91,7 @@ def trees(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     path = f"{a.output_dir}/trees"
     if a.skip_existing and there(spark, path):  # known trees are left out before they are parsed
         code = reports.not_done(code, jsparse.valid_asts(spark.read.parquet(path)), KEYS)
-        jsparse.parse_files(code).write.mode("append").parquet(path)
-        return spark.read.parquet(path)
+        return save(jsparse.parse_files(code), path, "append")
     return append(jsparse.parse_files(code), path, a, KEYS)
 
 
@@ -88,8 +102,7 @@ def graphs(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
         asts = documents.ast_files(spark, a.input_dir, a.mode == "classified")
     path = f"{a.output_dir}/graphs"
     if a.skip_existing and there(spark, path):
-        callgraph.graphs(reports.not_done(asts, spark.read.parquet(path), KEYS)).write.mode("append").parquet(path)
-        return spark.read.parquet(path)
+        return save(callgraph.graphs(reports.not_done(asts, spark.read.parquet(path), KEYS)), path, "append")
     return append(callgraph.graphs(asts), path, a, KEYS)
 
 
@@ -111,17 +124,44 @@ def features(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     return rows
 
 
+def callable_of(name: str | None):
+    """module:function, imported; the function answers what it is asked."""
+    if not name or ":" not in name:
+        raise SystemExit("--model module:function is needed")
+    module, function = name.split(":", 1)
+    return getattr(importlib.import_module(module), function)
+
+
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     a = parser().parse_args(argv)
     spark = spark or SparkSession.builder.appName("paxlens").getOrCreate()
     if a.preview:
         scans.preview(chosen(spark, a)[0]).show(truncate=False)
         return 0
+    if a.stage == "report":
+        rows = spark.read.parquet(f"{a.output_dir}/features")
+        for package in a.packages or []:
+            reports.package_report(rows, rules_frame(spark, load_rules(spark, a.rules) if a.rules else shipped()), package).show(100, truncate=False)
+        return 0
+    if a.stage == "mine":
+        code = miner.samples(spark, a.input_dir, a.pilot or a.sample or miner.SAMPLES)
+        found = miner.records(miner.extract(code, callable_of(a.model), f"{a.output_dir}/answers"))
+        found.agg(F.count("*").alias("samples"), F.count_if(F.col("valid_json")).alias("valid_json"), F.sum("valid_count").alias("rules")).show()
+        return 0
+    if a.stage == "consolidate":
+        answers = spark.read.schema(miner.ANSWERS).json(f"{a.input_dir}/answers")
+        least = a.min_frequency if a.min_frequency is not None else 1 if a.pilot else miner.mining.MIN_FREQUENCY
+        rules = written(miner.consolidate(answers, callable_of(a.model), least), "mined-rules")
+        miner.write_document(spark, rules, f"{a.output_dir}/rules")
+        miner.mining.breakdown(rules).show()
+        return 0
     if a.stage in ("preprocess", "analyse"):
         files, found = chosen(spark, a)
         scripts.virtual_files(files, found).write.mode("overwrite").parquet(f"{a.output_dir}/virtual")
+        results = scripts.preprocessing_results(files, found)
+        reports.write_preprocessing(results, f"{a.output_dir}/preprocessing")
         if not a.no_report:
-            reports.preprocessing_summary(scripts.preprocessing_results(files, found), 1).show(truncate=False)
+            reports.preprocessing_summary(results, 1).show(truncate=False)
     if a.stage in ("trees", "analyse"):
         made = trees(spark, a)
         failed = made.where(~F.col("success")).select("package_id", "rel_path", F.col("error").alias("error_message"))
@@ -130,8 +170,11 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             reports.failures_by_reason(failed, reasons=5).orderBy("place", "example").show(15, truncate=False)
     if a.stage in ("graphs", "analyse"):
         made = graphs(spark, a)
+        reports.write_failures(failures_of(made), f"{a.output_dir}/failures")
+        if a.documents:
+            documents.graph_documents(made).select("document", "data_type").write.mode("overwrite").partitionBy("data_type").text(f"{a.output_dir}/documents")
         if not a.no_report:
-            for table in reports.batch_summary(made.withColumn("seconds", F.lit(None).cast("double"))):
+            for table in reports.batch_summary(made) if a.mode == "classified" else reports.direct_summary(made):
                 table.show(truncate=False)
     if a.stage in ("features", "analyse"):
         rows = features(spark, a)

@@ -116,21 +116,42 @@ def breakdown(rules: DataFrame) -> DataFrame:
     return rules.groupBy("category").agg(F.count("*").alias("rules"))
 
 
-def consolidated(rules: list[dict], call: Callable[[list[dict]], list[dict]], batch: int = BATCH) -> list[dict]:
-    """Consolidates one category's rules through ``call``: in batches merged at the end, halves after a failure, else the rules as they are.
-
-    A category's rule list is small by nature; this is the driver's dialogue with a model.
+def is_valid(rule: dict) -> bool:
+    """valid() and a pattern that compiles, for one record."""
+    p = rule.get("pdcg_pattern") or {}
+    if not rule.get("rule_id") or rule.get("category") not in CATEGORIES:
+        return False
+    callee, content = p.get("callee_name_regex"), p.get("content_regex")
+    if p.get("node_type") == "CALL" and not callee or p.get("node_type") == "ARGUMENT" and not (content or p.get("content")):
+        return False
+    try:
+        re.compile(callee or content or p.get("content") or "")
+    except re.error:
+        return False
+    return True
+
+
+def kept_rules(rules: list[dict]) -> list[dict]:
+    """Valid records without private fields, names filled from ids."""
+    plain = ({k: v for k, v in r.items() if not k.startswith("_")} for r in rules)
+    return [r | {"name": r.get("name") or r["rule_id"]} for r in plain if is_valid(r)]
+
+
+def consolidated(rules: list[dict], call: Callable[[list[dict]], list[dict]], batch: int = BATCH, code: str | None = None) -> list[dict]:
+    """Consolidates one category's rules through ``call``: in batches merged at the end, halves after a failure, else the valid ones as they are.
+
+    With its ``code`` ids are numbered anew.  A category's rule list is small by nature; this is the driver's dialogue with a model.
     """
-    plain = [{k: v for k, v in r.items() if not k.startswith("_")} for r in rules]
     if len(rules) <= batch:
-        if out := call(rules):
-            return out
-        half = len(rules) // 2
-        first = call(rules[:half]) if half else []
-        second = call(rules[half:]) if first else []
-        return (call(first + second) or first + second) if first and second else plain
-    parts = [p for k in range(0, len(rules), batch) for p in (call(rules[k : k + batch]) or plain[k : k + batch])]
-    return call(parts) or parts
+        if not (out := call(rules)):
+            half = len(rules) // 2
+            first = call(rules[:half]) if half else []
+            second = call(rules[half:]) if first else []
+            out = (call(first + second) or first + second) if first and second else kept_rules(rules)
+    else:
+        parts = [p for k in range(0, len(rules), batch) for p in (call(rules[k : k + batch]) or kept_rules(rules[k : k + batch]))]
+        out = call(parts) or kept_rules(parts)
+    return [r | {"rule_id": f"{code}-{i:03d}"} for i, r in enumerate(out, 1)] if code else out
 
 
 def asked(call: Callable[[str], str], prompt: str, tries: int = 3, wait: Callable[[float], None] | None = None) -> str:

@@ -274,14 +274,17 @@ def call_graph(program: dict) -> tuple[list[dict], list[dict]]:
 
 
 def graphs(asts: DataFrame) -> DataFrame:
-    """One row per tree: nodes, edges, error.  A tree that failed, or can't be read, keeps its row with an error."""
+    """One row per tree: nodes, edges, error, the seconds it took and when.  A tree that failed, or can't be read, keeps its row with an error."""
+    import time
+
     import pandas as pd
 
     def run(batches):
         for pdf in batches:
-            nodes, edges, errors = [], [], []
+            nodes, edges, errors, took, at = [], [], [], [], []
             for ok, tree, error in zip(pdf.success, pdf.ast, pdf.error):
                 n = e = None
+                began = time.perf_counter()
                 try:
                     if not ok:
                         raise ValueError(error or "no tree")
@@ -292,7 +295,9 @@ def graphs(asts: DataFrame) -> DataFrame:
                 nodes.append(n)
                 edges.append(e)
                 errors.append(error)
-            yield pd.DataFrame({"package_id": pdf.package_id, "data_type": pdf.data_type, "rel_path": pdf.rel_path, "nodes": _filled(nodes, schemas.NODE_FIELDS), "edges": edges, "error": errors})
+                took.append(time.perf_counter() - began)
+                at.append(pd.Timestamp.now(tz="UTC"))
+            yield pd.DataFrame({"package_id": pdf.package_id, "data_type": pdf.data_type, "rel_path": pdf.rel_path, "nodes": _filled(nodes, schemas.NODE_FIELDS), "edges": edges, "error": errors, "seconds": took, "at": pd.Series(at, dtype="datetime64[us, UTC]")})
 
     return asts.mapInPandas(run, schemas.GRAPHS)
 

@@ -1,8 +1,8 @@
 """Graph features of packages: marked-node shares, density, centrality, communities.
 
 What SQL expresses is relational and shares the key package_id.  PageRank, betweenness and communities need iteration
-within one package: they run as one cogrouped function per package, only for packages that have a marked node, so the
-largest package, not the corpus, bounds a task.
+within one package: they run as one cogrouped function per package, only for packages that have a marked node, and give
+measures of nodes, which are aggregated relationally; the sources of betweenness in a large package are spread over tasks.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..schemas import CODES, GRAPH_FEATURES
 from ..session import dropped, written
@@ -72,12 +73,13 @@ def degree_features(marked: DataFrame, edges: DataFrame) -> DataFrame:
     return of.groupBy("package_id").agg(F.avg("centrality").alias("mean_degree_centrality_full"), F.max("centrality").alias("max_degree_centrality_full"))
 
 
-def community_features(marked: DataFrame, community: str = "community") -> DataFrame:
+def community_features(marked: DataFrame, community: str = "community", mark: Column | None = None) -> DataFrame:
     """Communities with a marked node, largest marked share of one, and the entropy of marked nodes over them.
 
-    ``marked`` carries a community column; packages without a marked node are left out.
+    ``marked`` carries a community column; nodes are marked by their hits or by ``mark``; packages without a marked node are
+    left out.
     """
-    per = marked.groupBy("package_id", community).agg(F.count_if(is_marked()).alias("k"), F.count("*").alias("n")).where("k > 0")
+    per = marked.groupBy("package_id", community).agg(F.count_if(is_marked() if mark is None else mark).alias("k"), F.count("*").alias("n")).where("k > 0")
     whole = per.groupBy("package_id").agg(F.sum("k").alias("m"))
     p = F.col("k") / F.col("m")
     return per.join(whole, "package_id").groupBy("package_id").agg(
@@ -130,68 +132,106 @@ def pagerank_frame(nodes: DataFrame, edges: DataFrame, steps: int, alpha: float
     return rank.select("package_id", "node_id", "rank")
 
 
-KERNEL_COLUMNS = tuple(c for c in GRAPH_FEATURES if c in ("malicious_components",) or "pagerank" in c or "betweenness" in c or c.endswith("_sub") or "communit" in c)
-_COUNTS = ("malicious_components", "num_malicious_communities")
+MEASURES = ("component", "pagerank", "betweenness", "inside", "community")
+INSIDE = ("degree", "pagerank", "betweenness")
+SOURCE_WORK = 1 << 26  # sources times edges that one task follows for betweenness
 
 
-def measured(n: int, edges: np.ndarray, marks: np.ndarray) -> dict[str, float]:
-    """Iterative features of one package; each block on its own, a failing one leaves its zeros."""
-    out = dict.fromkeys(KERNEL_COLUMNS, 0.0)
+def measured(n: int, edges: np.ndarray, marks: np.ndarray, which: tuple[str, ...] = MEASURES, block: tuple[int, int] = (0, 1)) -> dict[str, np.ndarray]:
+    """Iterative measures of one package's nodes; each on its own, a failing one is left out.
+
+    component (of marked nodes among themselves, by their smallest place there), pagerank, betweenness (the share of one
+    block of sources), community, and degree_in, pagerank_in, betweenness_in within the marked nodes' own graph.
+    """
     at = np.flatnonzero(marks)
     place = np.full(n, -1)
     place[at] = np.arange(len(at))
     inner = place[edges[marks[edges[:, 0]] & marks[edges[:, 1]]]] if len(edges) else edges
 
-    def components():
-        return {"malicious_components": len(set(kernels.components(len(at), inner).tolist()))}
-
-    def whole_pagerank():
-        x = kernels.pagerank(n, edges)
-        return {} if x is None else {"mean_malicious_pagerank": x[at].mean(), "max_malicious_pagerank": x[at].max(), "sum_malicious_pagerank": x[at].sum()}
-
-    def whole_betweenness():
-        x = kernels.betweenness(n, edges, kernels.betweenness_sources(n))[at]
-        return {"mean_malicious_betweenness": x.mean(), "max_malicious_betweenness": x.max()}
+    def spread(x):
+        out = np.full(n, np.nan)
+        out[at] = x
+        return out
 
     def inside():
         if len(at) < 2:
             return {}
-        d, b, p = kernels.degree_centrality(len(at), inner), kernels.betweenness(len(at), inner), kernels.pagerank(len(at), inner)
-        return {"mean_degree_centrality_sub": d.mean(), "max_degree_centrality_sub": d.max(), "mean_betweenness_sub": b.mean(), "max_betweenness_sub": b.max()} | ({} if p is None else {"mean_pagerank_sub": p.mean(), "max_pagerank_sub": p.max()})
-
-    def communities():
-        c = kernels.louvain(n, edges)
-        all_, own = np.bincount(c), np.bincount(c[at], minlength=c.max() + 1)
-        p = own[own > 0] / len(at)
-        return {"num_malicious_communities": len(p), "max_community_maliciousness_ratio": (own / all_).max(), "malicious_community_entropy": -(p * np.log2(p)).sum() + 0.0}
-
-    for block in (components, whole_pagerank, whole_betweenness, inside, communities):
-        try:
-            out |= block()
-        except (ArithmeticError, ValueError, IndexError):
-            if block is components:
-                out["malicious_components"] = 1
+        found = (kernels.degree_centrality(len(at), inner), kernels.pagerank(len(at), inner), kernels.betweenness(len(at), inner))
+        return {f"{name}_in": spread(x) for name, x in zip(INSIDE, found) if x is not None}
+
+    make = {
+        "component": lambda: {"component": spread(kernels.components(len(at), inner))},
+        "pagerank": lambda: {} if (x := kernels.pagerank(n, edges)) is None else {"pagerank": x},
+        "betweenness": lambda: {"betweenness": kernels.betweenness(n, edges, kernels.betweenness_sources(n), block=block)},
+        "inside": inside,
+        "community": lambda: {"community": kernels.louvain(n, edges).astype(float)},
+    }
+    out: dict[str, np.ndarray] = {}
+    for name in MEASURES:
+        if name in which and (block[0] == 0 or name == "betweenness"):
+            try:
+                out |= make[name]()
+            except (ArithmeticError, ValueError, IndexError):
+                continue
     return out
 
 
-def kernel_features(marked: DataFrame, edges: DataFrame) -> DataFrame:
-    """Iterative features of packages with a marked node; needs columns order (of nodes) and edge_seq to be reproducible."""
+def node_measures(marked: DataFrame, edges: DataFrame, which: tuple[str, ...] = MEASURES) -> DataFrame:
+    """package_id, node_id, place, mark and the columns of measured() for all nodes of packages with a marked node; null where not made.
+
+    Needs columns order (of nodes) and edge_seq to be reproducible.  A package is one function call, except that the sources
+    of betweenness in large ones are spread over several, each with its share of the sum.
+    """
     live = marked.where(is_marked()).select("package_id").distinct()
     nodes = marked.select("package_id", "node_id", "order", is_marked().alias("mark")).join(live, "package_id", "left_semi")
     links = edges.select("package_id", "src", "dst", "edge_seq").join(live, "package_id", "left_semi")
-    form = ", ".join(["package_id string", *(f"{c} {'long' if c in _COUNTS else 'double'}" for c in KERNEL_COLUMNS)])
+    size = nodes.groupBy("package_id").agg(F.count("*").alias("n")).join(links.groupBy("package_id").agg(F.count("*").alias("m")), "package_id", "left")
+    sources = F.least("n", F.greatest(F.lit(100), F.floor(F.col("n") * 0.01)))
+    blocks = size.select("package_id", F.greatest(F.lit(1), F.ceil(sources * F.coalesce("m", F.lit(0)) / SOURCE_WORK)).cast("int").alias("blocks"))
+    blocks = blocks.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    names = [c for m in MEASURES for c in ([f"{x}_in" for x in INSIDE] if m == "inside" else [m])]
+    form = ", ".join(["package_id string", "node_id string", "place long", "mark boolean", *(f"{c} double" for c in names)])
 
     def run(n: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
         if not len(n):
-            return pd.DataFrame({c: [] for c in ("package_id", *KERNEL_COLUMNS)})
-        n = n.assign(order=n.order.map(lambda o: tuple(o.values()) if isinstance(o, dict) else tuple(o) if hasattr(o, "__iter__") and not isinstance(o, str) else (o,))).sort_values(["order", "node_id"])
+            return pd.DataFrame({c: [] for c in ("package_id", "node_id", "place", "mark", *names)})
+        block = (int(n.block.iloc[0]), int(n.blocks.iloc[0]))
+        n = n.assign(order=n.order.map(lambda o: tuple(o.values()) if isinstance(o, dict) else tuple(o) if hasattr(o, "__iter__") and not isinstance(o, str) else (o,))).sort_values(["order", "node_id"], ignore_index=True)
         place = {x: i for i, x in enumerate(n.node_id)}
         e = e.sort_values("edge_seq")
         pairs = np.array([(place[a], place[b]) for a, b in dict.fromkeys(zip(e.src, e.dst)) if a in place and b in place], int).reshape(-1, 2)
-        return pd.DataFrame([{"package_id": n.package_id.iloc[0]} | measured(len(n), pairs, n.mark.to_numpy(bool))])
-
-    links = links.withColumnRenamed("package_id", "of")  # both sides may stem from one table
-    return nodes.groupBy("package_id").cogroup(links.groupBy("of")).applyInPandas(run, form)
+        found = measured(len(n), pairs, n.mark.to_numpy(bool), which, block)
+        return pd.DataFrame({"package_id": n.package_id, "node_id": n.node_id, "place": n.index, "mark": n.mark, **{c: found.get(c, np.full(len(n), np.nan)) for c in names}})
+
+    left = nodes.join(blocks, "package_id")
+    right = links.join(blocks.select("package_id", "block"), "package_id").withColumnsRenamed({"package_id": "of", "block": "part"})  # both sides may stem from one table
+    made = left.groupBy("package_id", "block").cogroup(right.groupBy("of", "part")).applyInPandas(run, form)
+    made = made.select("package_id", "node_id", "place", "mark", *(F.when(~F.isnan(c), F.col(c)).alias(c) for c in names))
+    if "betweenness" not in which:
+        return made
+    first = [F.first(c, ignorenulls=True).alias(c) for c in names if c != "betweenness"]
+    return made.groupBy("package_id", "node_id", "place", "mark").agg(*first, F.sum("betweenness").alias("betweenness"))
+
+
+def kernel_features(marked: DataFrame, edges: DataFrame, which: tuple[str, ...] = MEASURES) -> DataFrame:
+    """Iterative features of packages with a marked node, only those of the measures asked for; zero where a measure failed."""
+    m = written(node_measures(marked, edges, which), "node-measures")
+    on = lambda c: F.when(F.col("mark"), F.col(c))
+    aggregates = {
+        "component": [F.greatest(F.lit(1), F.count_if(F.col("mark") & (F.col("component") == F.col("inner")))).alias("malicious_components")],
+        "pagerank": [f(on("pagerank")).alias(f"{n}_malicious_pagerank") for n, f in (("mean", F.avg), ("max", F.max), ("sum", F.sum))],
+        "betweenness": [f(on("betweenness")).alias(f"{n}_malicious_betweenness") for n, f in (("mean", F.avg), ("max", F.max))],
+        "inside": [f(on(f"{x}_in")).alias(f"{n}_{'degree_centrality' if x == 'degree' else x}_sub") for x in INSIDE for n, f in (("mean", F.avg), ("max", F.max))],
+        "community": [],
+    }
+    if "component" in which:  # a component counts at its smallest marked node
+        inner = F.sum(F.col("mark").cast("int")).over(Window.partitionBy("package_id").orderBy("place")) - 1
+        m = m.withColumn("inner", inner)
+    out = m.groupBy("package_id").agg(F.count("*").alias("nodes"), *(a for k in which for a in aggregates[k])).drop("nodes")
+    if "community" in which:
+        out = out.join(community_features(m.where("community is not null"), mark=F.col("mark")), "package_id", "left")
+    kinds = dict(out.dtypes)
+    return out.select("package_id", *(F.coalesce(c, F.lit(0).cast(kinds[c])).alias(c) for c in out.columns if c != "package_id"))
 
 
 def graph_features(marked: DataFrame, edges: DataFrame, *more: Column) -> DataFrame:

@@ -26,6 +26,7 @@ _REGEX = re.compile(r"/((?:[^/\\\[\n\r]|\\[^\n\r]|\[(?:[^\]\\\n\r]|\\[^\n\r])*\]
 _PUNCTUATORS = sorted("{ } ( ) [ ] ; , < > <= >= == != === !== + - * / % ** ++ -- << >> >>> & | ^ ! ~ && || ?? ? ?. : = += -= *= /= %= **= <<= >>= >>>= &= |= ^= &&= ||= ??= => . ... # @".split(), key=len, reverse=True)
 _PUNCTUATOR = re.compile("|".join(map(re.escape, _PUNCTUATORS)))
 _ESCAPE = re.compile(r"\\(?:u\{([0-9a-fA-F]+)\}|u([0-9a-fA-F]{4})|x([0-9a-fA-F]{2})|(\r\n|[\s\S]))")
+_LONE = re.compile("[\ud800-\udfff]")
 _PLAIN = {"n": "\n", "t": "\t", "r": "\r", "b": "\b", "f": "\f", "v": "\v", "0": "\0", "\n": "", "\r": "", "\r\n": "", "\u2028": "", "\u2029": ""}
 _POWER = {op: p for p, ops in enumerate(("??", "||", "&&", "|", "^", "&", "== != === !==", "< > <= >= in instanceof", "<< >> >>>", "+ -", "* / %", "**"), 1) for op in ops.split()}
 _ASSIGN = {"=", "+=", "-=", "*=", "/=", "%=", "**=", "<<=", ">>=", ">>>=", "&=", "|=", "^=", "&&=", "||=", "??="}
@@ -40,7 +41,9 @@ def _unescaped(text: str) -> str:
         return _PLAIN.get(m[4], m[4])
 
     text = _ESCAPE.sub(one, text)
-    return text.encode("utf-16", "surrogatepass").decode("utf-16", "replace") if any("\ud800" <= c <= "\udfff" for c in text) else text
+    if any("\ud800" <= c <= "\udfff" for c in text):  # pairs become one character, lone halves question marks
+        text = _LONE.sub("?", text.encode("utf-16", "surrogatepass").decode("utf-16", "surrogatepass"))
+    return text
 
 
 def _number(text: str) -> int | float:

@@ -9,16 +9,17 @@ from ..rules.dsl import Rule, match_order, needs_arguments, predicate
 
 
 def with_arguments(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Adds ``args`` (map index -> content of the first has_arg target with it) to the CALL nodes that have arguments.
+    """Adds ``args`` to nodes: index -> content of the first has_arg target with that index; null without such an edge.
 
+    A target may be of any type, as files that merge leave old indexes behind; targets without an index give an empty map.
     Both sides are narrow projections; the join and the grouping share the key (package_id, node_id), so AQE moves the
     edges once.
     """
-    targets = nodes.where("type = 'ARGUMENT'").select("package_id", F.col("node_id").alias("dst"), "arg_index", F.coalesce("content", F.lit("")).alias("arg"))
-    linked = edges.where("type = 'has_arg'").select("package_id", "src", "dst", "edge_seq").join(targets, ["package_id", "dst"])
-    first = linked.where("arg_index is not null").groupBy("package_id", "src", "arg_index").agg(F.min_by("arg", "edge_seq").alias("arg"))
-    args = first.groupBy("package_id", F.col("src").alias("node_id")).agg(F.map_from_entries(F.collect_list(F.struct("arg_index", "arg"))).alias("args"))
-    # a target without an index still makes the call one with arguments
+    targets = nodes.where("arg_index is not null").select("package_id", F.col("node_id").alias("dst"), "arg_index", F.coalesce("content", F.lit("")).alias("arg"))
+    linked = edges.where("type = 'has_arg'").select("package_id", "src", "dst", "edge_seq").join(targets, ["package_id", "dst"], "left")
+    first = linked.groupBy("package_id", "src", "arg_index").agg(F.min_by("arg", "edge_seq").alias("arg"))
+    entries = F.filter(F.collect_list(F.struct("arg_index", "arg")), lambda x: x["arg_index"].isNotNull())
+    args = first.groupBy("package_id", F.col("src").alias("node_id")).agg(F.map_from_entries(entries).alias("args"))
     return nodes.join(args, ["package_id", "node_id"], "left")
 
 
@@ -43,7 +44,7 @@ def mark(nodes: DataFrame, edges: DataFrame | None, rules: list[Rule]) -> DataFr
     """Adds ``hit_rules`` (array, in match order) and ``category`` (null where nothing hit) to graph nodes."""
     if needs_arguments(rules):
         nodes = with_arguments(nodes, edges)
-        args = F.coalesce("args", F.create_map().cast("map<int,string>"))
+        args = F.col("args")
     else:
         args = None
     ids, codes = hit_columns(rules, F.col("type"), F.coalesce("callee_name", F.lit("")), F.coalesce("content", F.lit("")), args)

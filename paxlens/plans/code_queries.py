@@ -17,9 +17,9 @@ QUERIES, ORACLE_SQL = query.queries, query.sql
 
 
 def page_scripts(spark, sf_dir):
-    """Inline scripts of web pages as source files: package = page."""
+    """Inline scripts of web pages, whatever attributes their tags have, as source files: package = page."""
     pages = read(spark, sf_dir, "pages")
-    each = pages.select(F.col("page_id").cast("string").alias("package_id"), F.posexplode(F.regexp_extract_all("html", F.lit(r"(?is)<script>(.*?)</script>"), 1)).alias("n", "code"))
+    each = pages.select(F.col("page_id").cast("string").alias("package_id"), F.posexplode(F.regexp_extract_all("html", F.lit(r"(?is)<script\b(?![^>]*\bsrc\s*=)[^>]*>(.*?)</script\s*>"), 1)).alias("n", "code"))
     return each.select("package_id", F.lit("unknown").alias("data_type"), F.concat(F.lit("inline"), F.col("n").cast("string"), F.lit(".js")).alias("rel_path"), F.octet_length("code").cast("long").alias("size"), "code")
 
 
@@ -66,22 +66,30 @@ def pages_hits(spark, sf_dir):
 _texts_sql = "select 'd' || doc_id as id, text from documents union all select 'p' || page_id, html from pages union all select 'c' || conv_id || '.' || turn, text from conversations"
 
 
-@query(f"""with t as ({_texts_sql}), h as (select id, list_filter([
-  case when regexp_matches(text, '(base64|hex|utf8|ascii)') then 'DE-002' end,
-  case when regexp_matches(text, '(BEGIN PRIVATE KEY|iam\\.gserviceaccount\\.com|[A-Za-z0-9]{{32,}})') then 'DE-005' end,
-  case when regexp_matches(text, 'https?://[^\\s/$.?#].[^\\s]*') then 'DT-004' end,
-  case when regexp_matches(text, '/(tmp|temp)/') then 'SP-001' end,
-  case when regexp_matches(text, 'process\\.env') then 'IG-010' end], lambda x: x is not null) as hits from t)
+def _quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+def _test_sql(r) -> str:
+    """An argument rule as a condition on ``text``."""
+    if "content_regex" in r.pattern:
+        return f"case when regexp_matches(text, {_quoted(r.pattern['content_regex'])}) then '{r.rule_id}' end"
+    return f"case when trim(text, {_quoted(chr(34) + chr(39))}) = {_quoted(r.pattern['content'])} then '{r.rule_id}' end"
+
+
+_argument_rules = [r for r in shipped() if r.kind == "ARGUMENT"]
+
+
+@query(f"""with t as ({_texts_sql}), h as (select id, list_filter([{", ".join(map(_test_sql, _argument_rules))}], lambda x: x is not null) as hits from t)
 select id, array_to_string(list_sort(hits), ',') as hits from h where len(hits) > 0""")
 def text_rule_scan(spark, sf_dir):
-    """Argument rules of the default base on whole texts."""
+    """All argument rules of the default base on whole texts."""
     t = (
         read(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), "text")
         .unionAll(read(spark, sf_dir, "pages").select(F.concat(F.lit("p"), F.col("page_id").cast("string")), "html"))
         .unionAll(read(spark, sf_dir, "conversations").select(F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("."), F.col("turn").cast("string")), "text"))
     )
-    some = [r for r in shipped() if r.rule_id in ("DE-002", "DE-005", "DT-004", "SP-001", "IG-010")]
-    ids, _ = matching.hit_columns(some, F.lit("ARGUMENT"), F.lit(""), F.coalesce("text", F.lit("")), None)
+    ids, _ = matching.hit_columns(_argument_rules, F.lit("ARGUMENT"), F.lit(""), F.coalesce("text", F.lit("")), None)
     return t.select("id", F.concat_ws(",", F.array_sort(ids)).alias("hits")).where("hits <> ''")
 
 
@@ -157,7 +165,7 @@ def first_packages(spark, sf_dir):
     return scans.first(c.select(F.col("c_custkey").cast("string").alias("package_id")), 25)
 
 
-@query()
+@query("""select c_custkey::varchar as package_id from customer order by md5('42|' || c_custkey), package_id limit 100""")
 def sampled_packages(spark, sf_dir):
     return scans.sampled(read(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("package_id")), 100)
 

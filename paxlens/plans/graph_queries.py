@@ -173,13 +173,13 @@ def top10_rules(spark, sf_dir):
 @query()
 def betweenness(spark, sf_dir):
     m, e = event_marked(spark, sf_dir)
-    return features.kernel_features(m, e).select("package_id", F.round("mean_malicious_betweenness", 9).alias("mean_malicious_betweenness"), F.round("max_malicious_betweenness", 9).alias("max_malicious_betweenness"))
+    return features.kernel_features(m, e, ("betweenness",)).select("package_id", F.round("mean_malicious_betweenness", 9).alias("mean_malicious_betweenness"), F.round("max_malicious_betweenness", 9).alias("max_malicious_betweenness"))
 
 
 @query()
 def louvain(spark, sf_dir):
     m, e = event_marked(spark, sf_dir)
-    return features.kernel_features(m, e).select("package_id", "num_malicious_communities", "max_community_maliciousness_ratio", "malicious_community_entropy")
+    return features.kernel_features(m, e, ("community",)).select("package_id", "num_malicious_communities", "max_community_maliciousness_ratio", "malicious_community_entropy")
 
 
 @query()

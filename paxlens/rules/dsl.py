@@ -102,8 +102,8 @@ def _spec(args: Column, spec: dict) -> Column:
 
 
 def _specs(args: Column, specs: list[dict]) -> Column:
-    """All specs hold; a call without arguments matches none, not even an empty list."""
-    return reduce(and_, [F.size(args) > 0, *(_spec(args, s) for s in specs)])
+    """All specs hold; a call without arguments (null) matches none, not even an empty list."""
+    return reduce(and_, [args.isNotNull(), *(_spec(args, s) for s in specs)])
 
 
 def predicate(rule: Rule, callee: Column, content: Column, args: Column | None) -> Column | None:

@@ -9,7 +9,7 @@ NODE_FIELDS = (
     "is_async boolean, is_generator boolean, is_callback boolean, class_name string, parameter_name string"
 )
 EDGE_FIELDS = "edge_seq int, src string, dst string, type string"
-GRAPHS = f"package_id string, data_type string, rel_path string, nodes array<struct<{', '.join(f'{a}:{b}' for a, b in (x.split() for x in NODE_FIELDS.split(', ')))}>>, edges array<struct<{', '.join(f'{a}:{b}' for a, b in (x.split() for x in EDGE_FIELDS.split(', ')))}>>, error string"
+GRAPHS = f"package_id string, data_type string, rel_path string, nodes array<struct<{', '.join(f'{a}:{b}' for a, b in (x.split() for x in NODE_FIELDS.split(', ')))}>>, edges array<struct<{', '.join(f'{a}:{b}' for a, b in (x.split() for x in EDGE_FIELDS.split(', ')))}>>, error string, seconds double, at timestamp"
 GRAPH_NODES = f"package_id string, file_key string, {NODE_FIELDS}"
 GRAPH_EDGES = f"package_id string, file_key string, {EDGE_FIELDS}"
 FAILURES = "package_id string, rel_path string, stage string, error_type string, error_message string"

@@ -25,8 +25,10 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one of its own only where that is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one of its own only in local mode, where that is unset."""
     if not (base := spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")):
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = _own.setdefault(spark.sparkContext.applicationId, "")
         if not base:
             base = _own[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="paxlens-")

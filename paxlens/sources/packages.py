@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,9 +45,28 @@ def listing(spark: SparkSession, root: str, classified: bool = True, name: str |
     return out.where("package_id <> '' and rel_path <> ''")
 
 
-def packages(spark: SparkSession, root: str, classified: bool = True) -> DataFrame:
-    """package_id, data_type of every package that holds a file."""
-    return listing(spark, root, classified).select("package_id", "data_type").distinct()
+def folders(spark: SparkSession, root: str, classified: bool = True) -> DataFrame:
+    """package_id, data_type of every package folder, also of empty ones; a missing type folder is a warning.
+
+    Names of folders only, which are fewer than the files whose names every file scan holds on the driver.
+    """
+    jvm = spark._jvm
+    base = jvm.org.apache.hadoop.fs.Path(root)
+    fs = base.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = []
+    for kind in TYPES if classified else ("unknown",):
+        at = jvm.org.apache.hadoop.fs.Path(base, kind) if classified else base
+        if not fs.exists(at):
+            warnings.warn(f"there is no folder {at.toString()}", stacklevel=2)
+            continue
+        found += [(x.getPath().getName(), kind) for x in fs.listStatus(at) if x.isDirectory()]
+    return importable(spark).createDataFrame(found, "package_id string, data_type string")
+
+
+def packages(spark: SparkSession, root: str, classified: bool = True, empty: bool = True) -> DataFrame:
+    """package_id, data_type of every package; without ``empty`` only of those that hold a file, which needs no listing."""
+    found = folders(spark, root, classified) if empty else listing(spark, root, classified).select("package_id", "data_type")
+    return found.distinct()
 
 
 @F.pandas_udf(StringType())
@@ -81,7 +102,7 @@ def targets(files: DataFrame, data_type: str = "both", only: list[str] | None =
 
 def sampled(found: DataFrame, n: int, seed: int = 42) -> DataFrame:
     """n packages in hash-random order, the same ones each time."""
-    return found.orderBy(F.xxhash64("package_id", F.lit(seed)), "package_id").limit(n)
+    return found.orderBy(F.md5(F.concat(F.lit(f"{seed}|"), "package_id").cast("binary")), "package_id").limit(n)
 
 
 def first(found: DataFrame, n: int) -> DataFrame:
@@ -111,6 +132,8 @@ def sample_code(files: DataFrame, most_chars: int = 4000, virtual: str = "_virtu
     js = js.withColumns({"inner": inner, "name": name, "folder": folder})
     head = js.where(F.col("rel_path") == virtual).select("package_id", F.lit(0).alias("turn"), "folder", "name", "text")
     body = js.where(~F.col("inner") | F.col("rel_path").startswith("package/")).select("package_id", F.lit(1).alias("turn"), "folder", "name", "text")
-    parts = head.unionAll(body).withColumn("part", F.concat(F.lit("// === "), F.col("name"), F.lit(" ===\n"), F.col("text")))
+    parts = head.unionAll(body).withColumn("part", F.concat(F.lit("// === "), F.col("name"), F.lit(" ===\n"), F.substring("text", 1, most_chars)))
+    before = Window.partitionBy("package_id").orderBy("turn", "folder", "name").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("before", F.coalesce(F.sum(F.length("part") + 2).over(before), F.lit(0))).where(F.col("before") < most_chars)  # no more than can be seen
     ordered = F.array_sort(F.collect_list(F.struct("turn", "folder", "name", "part")))
     return parts.groupBy("package_id").agg(F.substring(F.array_join(F.transform(ordered, lambda x: x["part"]), "\n\n"), 1, most_chars).alias("code"))

@@ -34,7 +34,7 @@ def test_cliques():
     assert len(set(kernels.components(8, edges).tolist())) == 2
     assert kernels.louvain(8, edges).tolist() == [0] * 4 + [1] * 4
     f = measured(8, edges, np.array([1, 0, 0, 0, 1, 0, 0, 0], bool))
-    assert (f["num_malicious_communities"], f["malicious_community_entropy"], f["max_community_maliciousness_ratio"], f["malicious_components"]) == (2, 1.0, 0.25, 2)
+    assert f["community"].tolist() == [0] * 4 + [1] * 4 and f["component"][[0, 4]].tolist() == [0, 1] and np.isnan(f["component"][1])
 
 
 def test_louvain_improves_modularity():
@@ -46,7 +46,51 @@ def test_louvain_improves_modularity():
 
 def test_one_marked_node():
     f = measured(3, np.array([(0, 1), (1, 2)]), np.array([0, 1, 0], bool))
-    assert f["malicious_components"] == 1 and all(f[k] == 0 for k in f if k.endswith("_sub")) and f["mean_malicious_betweenness"] == pytest.approx(0.5)
+    assert f["component"][1] == 0 and not any(k.endswith("_in") for k in f) and f["betweenness"][1] == pytest.approx(0.5)
+
+
+def plain_betweenness(n, edges):
+    """By its definition: over all pairs, the share of shortest paths through a node."""
+    follow = {i: [b for a, b in edges if a == i] for i in range(n)}
+    out = np.zeros(n)
+    for s in range(n):
+        found, front = {s: [[s]]}, [s]
+        while front:
+            new = {}
+            for v in front:
+                for w in follow[v]:
+                    if w not in found:
+                        new.setdefault(w, []).extend([*p, w] for p in found[v])
+            found |= new
+            front = list(new)
+        for t, paths in found.items():
+            for p in paths:
+                for v in p[1:-1]:
+                    out[v] += 1 / len(paths)
+    return out / ((n - 1) * (n - 2))
+
+
+def test_betweenness_by_definition(monkeypatch):
+    rng = np.random.default_rng(3)
+    edges = np.array(sorted({(int(a), int(b)) for a, b in rng.integers(0, 14, (40, 2))}))
+    want = plain_betweenness(14, edges.tolist())
+    assert kernels.betweenness(14, edges) == pytest.approx(want)
+    monkeypatch.setattr(kernels, "STATES", 30)
+    assert sum(kernels.betweenness(14, edges, block=(i, 3)) for i in range(3)) == pytest.approx(want)
+
+
+def test_large_packages_are_spread_over_calls(spark, monkeypatch):
+    from paxlens.operators import features
+
+    n = 60
+    nodes = spark.createDataFrame([("p", f"n{i:02d}", f"n{i:02d}", ["R"] if i % 7 == 0 else []) for i in range(n)], "package_id string, node_id string, order string, hit_rules array<string>")
+    edges = spark.createDataFrame([("p", f"n{i:02d}", f"n{(i * 7 + k) % n:02d}", i * 2 + k) for i in range(n) for k in (1, 3)], "package_id string, src string, dst string, edge_seq int")
+    whole = features.kernel_features(nodes, edges).collect()
+    monkeypatch.setattr(features, "SOURCE_WORK", 1000)
+    spread = features.kernel_features(nodes, edges).collect()
+    assert len(whole) == len(spread) == 1 and all(spread[0][c] == pytest.approx(whole[0][c]) for c in whole[0].asDict())
+    some = features.kernel_features(nodes, edges, ("pagerank",))
+    assert some.columns == ["package_id", "mean_malicious_pagerank", "max_malicious_pagerank", "sum_malicious_pagerank"]
 
 
 def test_sampled_betweenness_is_scaled():

@@ -37,16 +37,21 @@ def test_cleaning(spark):
 
 
 def test_consolidation():
-    rules = [{"rule_id": str(i), "_freq": 2} for i in range(5)]
+    rules = [{"rule_id": str(i), "category": "DATA_ENCODING", "pdcg_pattern": {"node_type": "CALL", "callee_name_regex": f"c{i}"}, "_freq": 2} for i in range(5)]
+    whole = [r | {"name": r["rule_id"]} for r in rules]
+    for r in whole:
+        del r["_freq"]
     sizes = []
 
     def call(x):
         sizes.append(len(x))
         return [{"rule_id": "m"}] if len(x) <= 2 else []
 
-    assert mining.consolidated(rules, call, batch=2) == [{"rule_id": "m"}] * 3 and sizes == [2, 2, 1, 3]
+    assert mining.consolidated(rules, call, batch=2) == [] and sizes == [2, 2, 1, 3]  # what a failed merge leaves must be valid
     assert mining.consolidated(rules[:3], call, batch=9) == [{"rule_id": "m"}]
-    assert mining.consolidated(rules, lambda x: [], batch=9) == [{"rule_id": str(i)} for i in range(5)]
+    assert mining.consolidated(rules, lambda x: [], batch=9) == mining.consolidated(rules, lambda x: [], batch=2) == whole
+    bad = [{"rule_id": "x", "category": "DATA_ENCODING", "pdcg_pattern": {"node_type": "CALL", "callee_name_regex": "("}}, {"rule_id": "y", "category": "?"}]
+    assert [r["rule_id"] for r in mining.consolidated(rules + bad, lambda x: [], batch=9, code="DE")] == [f"DE-00{i}" for i in range(1, 6)]
 
 
 def test_retries():
