@@ -27,7 +27,7 @@ BUCKETS, RANK = 1 << 15, 8
 SAMPLE = {0: 3000, 1: 5000}  # labelled documents of each class that the fit reads at most
 EPOCHS, BATCH, RATE, DECAY = 12, 64, 0.02, 1e-4
 BINS = 8
-KEPT_WORDS = 300_000  # words kept in a worker (about 50 MB)
+KEPT_WORDS = 150_000  # words kept in a worker (about 25 MB)
 SEED = 5
 STATISTICS = ("length", "words", "word_length", "distinct", "top_word", "next_same", "pairs", "letters", "digits", "upper", "marks", "pipes", "loud", "lines", "line_repeats", "bare_lines", "short_words", "capital_words", "ends", "long_words")
 _LETTERS, _DIGITS, _UPPER = re.compile(r"[^\W\d_]"), re.compile(r"\d"), re.compile(r"[A-ZÀ-ÖØ-Þ]")
