@@ -17,6 +17,7 @@ from .. import schemas
 
 MOST_BYTES = 10 * 1024 * 1024
 TOO_LARGE = "File too large (>10MB)"
+MOST_SECONDS = 30.0  # for one file
 
 _SPACE = re.compile(r"(?:[\s\ufeff]|//[^\n\r\u2028\u2029]*|/\*.*?\*/)+", re.S)
 _NAME = re.compile(r"(?:[$_\w]|\\u\{[0-9a-fA-F]+\}|\\u[0-9a-fA-F]{4})+")
@@ -775,8 +776,28 @@ def _clean(text: str) -> str:
     return text.encode("utf-8", "replace").decode("utf-8")
 
 
-def parse_files(files: DataFrame, parser: Callable[[str], dict] = parse, name: str = "builtin") -> DataFrame:
-    """Trees of source files (SOURCE_FILES): one envelope a file, success or error; too large files are not read."""
+def within(seconds: float, work: Callable[[str], dict], code: str) -> dict:
+    """``work(code)``, or a TimeoutError after so many seconds; without a limit off the main thread, where no signal arrives."""
+    import signal
+    import threading
+
+    if threading.current_thread() is not threading.main_thread():
+        return work(code)
+
+    def late(*_):
+        raise TimeoutError(f"parsing took more than {seconds:g} s")
+
+    was = signal.signal(signal.SIGALRM, late)
+    signal.setitimer(signal.ITIMER_REAL, seconds)
+    try:
+        return work(code)
+    finally:
+        signal.setitimer(signal.ITIMER_REAL, 0)
+        signal.signal(signal.SIGALRM, was)
+
+
+def parse_files(files: DataFrame, parser: Callable[[str], dict] = parse, name: str = "builtin", seconds: float = MOST_SECONDS) -> DataFrame:
+    """Trees of source files (SOURCE_FILES): one envelope a file, success or error; too large files are not read, slow ones given up."""
     import pandas as pd
 
     def run(batches):
@@ -791,8 +812,8 @@ def parse_files(files: DataFrame, parser: Callable[[str], dict] = parse, name: s
                     error = TOO_LARGE
                 else:
                     try:
-                        tree = _clean(json.dumps(parser(code or "")))
-                    except (SyntaxError, ValueError) as x:
+                        tree = _clean(json.dumps(within(seconds, parser, code or "")))
+                    except (SyntaxError, ValueError, TimeoutError) as x:
                         error = _clean(str(x)) or type(x).__name__
                 trees.append(tree)
                 errors.append(error)

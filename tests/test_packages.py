@@ -128,6 +128,17 @@ def test_large_and_odd_sources(spark):
     assert got["a.js"].error == jsparse.TOO_LARGE and got["b.js"].success and got["c.js"].success
 
 
+def test_slow_files_are_given_up(spark):
+    def slow(code):
+        while code == "slow":
+            pass
+        return {"program": {"body": []}}
+
+    files = spark.createDataFrame([("p", "d", f"{i}.js", 4, c) for i, c in enumerate(("slow", "fast", "slow"))], "package_id string, data_type string, rel_path string, size long, code string").coalesce(1)
+    got = {r.rel_path: (r.success, r.error) for r in jsparse.parse_files(files, slow, seconds=0.5).collect()}
+    assert got == {"0.js": (False, "parsing took more than 0.5 s"), "1.js": (True, None), "2.js": (False, "parsing took more than 0.5 s")}
+
+
 def test_scans(spark, tree, tmp_path):
     assert packages.packages(spark, tree).count() == 5 and packages.packages(spark, tree + "/benign", classified=False).where("data_type = 'unknown'").count() == 4
     files = packages.source_files(spark, tree)
