@@ -304,6 +304,13 @@ class Parser:
             self.fail("string expected")
         return self.primary()
 
+    def attributes(self) -> list[dict]:
+        """What follows a source after ``with`` (or, in older code, ``assert``)."""
+        if not (self.at("with") or self.at("assert") and not self.newline) or self.peek()[1] != "{":
+            return []
+        self.next()
+        return [p | {"type": "ImportAttribute"} for p in self.primary()["properties"]]
+
     def on_import(self, start: int) -> dict:
         self.next()
         names: list[dict] = []
@@ -326,9 +333,9 @@ class Parser:
                 if not self.eat(","):
                     break
             self.need("from")
-        source = self.source()
+        source, attributes = self.source(), self.attributes()
         self.semicolon()
-        return self.node("ImportDeclaration", start, specifiers=names, source=source)
+        return self.node("ImportDeclaration", start, specifiers=names, source=source, attributes=attributes)
 
     def on_export(self, start: int) -> dict:
         self.next()
@@ -344,7 +351,7 @@ class Parser:
         if self.eat("*"):
             name = self.word() if self.eat("as") else None
             self.need("from")
-            source = self.source()
+            source, _ = self.source(), self.attributes()
             self.semicolon()
             if name:
                 spec = self.node("ExportNamespaceSpecifier", name["start"], exported=name)
@@ -358,6 +365,8 @@ class Parser:
                 if not self.at("}"):
                     self.need(",")
             source = self.source() if self.eat("from") else None
+            if source:
+                self.attributes()
             self.semicolon()
             return self.node("ExportNamedDeclaration", start, specifiers=names, source=source, declaration=None)
         return self.node("ExportNamedDeclaration", start, specifiers=[], source=None, declaration=self.statement())

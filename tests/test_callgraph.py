@@ -76,6 +76,8 @@ GOOD = [
     "export * from 'x'; export {a as b}; export const z = 1; import('x').then(y)",
     "a\n++b\nreturn\nx",
     "new (foo())(1); new a.b.c; new.target; a?.b.c(1)`t`",
+    "import a from 'a.json' with {type: 'json'}; import 'b' assert {type: 'css'}\nexport * from 'c' with {type: 'json'}; export {d} from 'd' with {}",
+    "import a from 'a'\nassert({b: 1}); with ({c}) d()",
     "0x1fn; 1_000; .5e3; 'a\\u{1F600}\\x41'",
     "#!/usr/bin/env node\n// c\n/* d */ x = function* () { yield; yield 1 }; delete a.b, void 0, typeof x",
     "(" * 24 + "a" + ")" * 24,
