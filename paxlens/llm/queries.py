@@ -86,8 +86,8 @@ with p as (
 select page_id, payload_bytes,
   list_aggregate(list_transform(range(0, 32), lambda i:
     substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(h, (5 * (i // 4) + 1)::bigint, 5))::bigint >> (15 - 5 * (i % 4))::int) & 31)::int, 1)), 'string_agg', '') as payload_digest,
-  case when page_id = last then 'response' else 'revisit' end as record_type,
-  case when page_id <> last then last end as refers_to
+  case when page_id is not distinct from last then 'response' else 'revisit' end as record_type,
+  case when page_id is distinct from last then last end as refers_to
 from d""",
     "op8_mixing": f"""
 with d as (

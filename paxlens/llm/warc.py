@@ -71,8 +71,9 @@ def write_warc(pages: DataFrame, roll_bytes: int = ROLL_BYTES, least_bytes: int
     """Writes all pages, returns the manifest: file, records, bytes, sha1.
 
     A null html is an empty payload; a null url leaves the target out; rows with a null page_id come first, in order of their
-    payloads' digests, and are always responses, being nothing a revisit could be told apart by; of repeated rows (page and
-    payload equal) the first is the response or refers like the rest, and all stand in one run; an empty table gives an empty
+    payloads' digests, and revisit the response of an equal payload like others, but are responses where no row with an equal
+    payload has an id, being nothing a revisit could name; of repeated rows (page and payload equal) the first is the
+    response or refers like the rest, and all stand in one run; an empty table gives an empty
     manifest; other columns are ignored.  ``parts`` asks for a number of runs instead of run_bytes().
     """
     spark = pages.sparkSession
@@ -81,9 +82,9 @@ def write_warc(pages: DataFrame, roll_bytes: int = ROLL_BYTES, least_bytes: int
     narrow = written(rows.select("page_id", "sha", F.octet_length("html").cast("long").alias("size")), "warc-sizes")
     key = F.concat(id_key("page_id"), "sha")
     cuts = range_cuts(narrow.select(key.alias("key"), (F.col("size") + OVERHEAD).alias("weight")), lambda whole: -(-whole // parts) if parts else run_bytes(whole, roll_bytes))
-    known = narrow.where(F.col("page_id").isNotNull() & (F.col("size") >= least_bytes)).select("page_id", "sha")
+    known = narrow.where(F.col("size") >= least_bytes).select("page_id", "sha")
     # only ids and digests move here; the largest page_id of each digest that occurs again
-    again = known.groupBy("sha").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("sha", "first")
+    again = known.groupBy("sha").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").select("sha", "first")
     notes = known.join(again, "sha").distinct()
     # notes travel to their page in the one exchange that sorts the pages, so no page is moved twice
     kind = dict(pages.dtypes)["page_id"]
@@ -117,7 +118,7 @@ def write_warc(pages: DataFrame, roll_bytes: int = ROLL_BYTES, least_bytes: int
                 last = (page_id, sha_hex)
                 digest = base64.b32encode(bytes.fromhex(sha_hex)).decode()
                 refers = None
-                if note and note[:2] == last and page_id is not None and (note[2] != page_id or turn):
+                if note and note[:2] == last and (note[2] != page_id or turn):
                     refers = (note[2], record_id(note[2], digest, 0))
                 if out is None:
                     fs.create_dir(folder, recursive=True)

@@ -530,7 +530,7 @@ def test_factorisation_equals_pairs():
 
 def test_warc(spark, sf_dir):
     pages = read(spark, sf_dir, "pages")
-    extra = spark.createDataFrame([(900, "http://a/ b\r\nX: y", "same é"), (901, None, "same é"), (899, "u", "same é"), (902, "u", None), (903, "u", ""), (None, "u", "same é"), (904, "u", "twice"), (904, "u", "twice")], "page_id long, url string, html string")
+    extra = spark.createDataFrame([(900, "http://a/ b\r\nX: y", "same é"), (901, None, "same é"), (899, "u", "same é"), (902, "u", None), (903, "u", ""), (None, "u", "same é"), (None, "v", "alone"), (None, "v", "alone"), (904, "u", "twice"), (904, "u", "twice")], "page_id long, url string, html string")
     all_ = pages.select("page_id", "url", "html").unionByName(extra).withColumn("sha", F.lit("clash"))
     manifest = warc.write_warc(all_, roll_bytes=20000, parts=3)
     files = manifest.collect()
@@ -545,7 +545,7 @@ def test_warc(spark, sf_dir):
     for r in got:
         html = next(h for i, h in rows if i == r.page_id and base64.b32encode(hashlib.sha1(h.encode()).digest()).decode() == r.payload_digest)
         assert r.payload_bytes == len(html.encode())
-        first = r.page_id is None or r.page_id == last[html] and not seen[r.page_id]
+        first = last[html] == -1 or r.page_id == last[html] and not seen[r.page_id]
         if r.page_id != 904:
             assert (r.record_type, r.refers_to, r.html) == (("response", None, html) if first else ("revisit", last[html], None))
         seen[r.page_id] += 1
