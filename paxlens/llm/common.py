@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 
 from ..session import dropped, importable, new_dir, shared_dir, written
 
-__all__ = ["WORD", "components", "constants", "crc_of_id", "dropped", "id_key", "local_roots", "mapped", "new_dir", "packed_row", "pairs_in_runs", "range_cuts", "read", "run_of", "runs_of", "shared_dir", "unsigned_mod", "written"]
+__all__ = ["WORD", "components", "constants", "crc_of_id", "dropped", "id_key", "local_roots", "mapped", "new_dir", "packed_row", "pairs_in_runs", "range_cuts", "read", "run_of", "runs_of", "shared_dir", "text_column", "texts_of", "unsigned_mod", "written"]
 
 WORD = r"[^\x20\x09-\x0D]+"  # a word: a run of anything but the six ASCII white-space characters
 
@@ -41,6 +41,16 @@ def packed_row(df: DataFrame, columns: list[str] | tuple[str, ...] | None = None
     return F.struct(*(F.col(f"`{c}`") for c in (df.columns if columns is None else columns))).alias("row")
 
 
+def text_column(docs: DataFrame, columns: tuple[str, ...] | None) -> list[Column]:
+    """The text beside packed_row(), unless that holds it: texts travel once."""
+    return [] if "text" in (docs.columns if columns is None else columns) else [F.col("text").alias("t")]
+
+
+def texts_of(batch):
+    """The texts of a batch made by packed_row() and text_column()."""
+    return batch.column("t") if "t" in batch.schema.names else batch.column("row").field("text")
+
+
 def constants(values: list, kind: str) -> Column:
     """Numbers or plain words as a literal array: one leaf of the plan, however many they are."""
     return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>") if values else F.array().cast(f"array<{kind}>")

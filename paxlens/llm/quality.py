@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_of_id, mapped, packed_row
+from .common import crc_of_id, mapped, packed_row, text_column, texts_of
 from .toxicity import labelled_sample
 
 BUCKETS, RANK = 1 << 15, 8
@@ -201,13 +201,13 @@ def scored(docs: DataFrame, model: Machine, keep: tuple[str, ...] | None = None)
     safe inside the struct; an empty table gives no rows.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)  # a fixed size
-    cols = docs.select(packed_row(docs, keep), F.col("text").alias("t"), F.array(*(F.col(f"`{c}`").cast("string") for c in model.metadata)).cast("array<string>").alias("more"))
+    cols = docs.select(packed_row(docs, keep), *text_column(docs, keep), F.array(*(F.col(f"`{c}`").cast("string") for c in model.metadata)).cast("array<string>").alias("more"))
 
     def run(batches):
         m = sent.value
         features = Features(m.metadata)
         for b in batches:
-            yield {"row": b.column("row"), "score": [m.score(*features(t.as_py(), v.as_py())) for t, v in zip(b.column("t"), b.column("more"))]}
+            yield {"row": b.column("row"), "score": [m.score(*features(t.as_py(), v.as_py())) for t, v in zip(texts_of(b), b.column("more"))]}
 
     return mapped(cols, run, T.StructType([cols.schema["row"], T.StructField("score", T.DoubleType())]))
 

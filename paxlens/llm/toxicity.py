@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_of_id, mapped, packed_row, written
+from .common import crc_of_id, mapped, packed_row, text_column, texts_of, written
 
 BUCKETS, SIZE, WIDTHS, FILTERS = 1 << 15, 16, (1, 2, 3), 16
 PREFIXES = (4, 5)
@@ -286,12 +286,13 @@ def scored(docs: DataFrame, model: Convolution, keep: tuple[str, ...] | None = N
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)  # a fixed size
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
-    cols = docs.select(packed_row(docs, keep), "doc_id", lang.alias("lang"), F.col("text").alias("t"))
+    cols = docs.select(packed_row(docs, keep), "doc_id", lang.alias("lang"), *text_column(docs, keep))
 
     def run(batches):
         scorer = Scorer(sent.value)
         for b in batches:
-            score = np.concatenate([scorer.scores(b.column("t").slice(k, 256).to_pylist()) for k in range(0, b.num_rows, 256)] or [np.zeros(0)])
+            texts = texts_of(b)
+            score = np.concatenate([scorer.scores(texts.slice(k, 256).to_pylist()) for k in range(0, b.num_rows, 256)] or [np.zeros(0)])
             yield {c: b.column(c) for c in ("row", "doc_id", "lang")} | {"score": score}
 
     return mapped(cols, run, T.StructType([*(cols.schema[c] for c in ("row", "doc_id", "lang")), T.StructField("score", T.DoubleType())]))
