@@ -1,12 +1,13 @@
-"""A JavaScript parser (ES2020, modules included) that emits trees in Babel's shape and key order.
+"""A JavaScript parser (ES2020, modules, decorators and JSX included) that emits trees in Babel's shape and key order.
 
 Top-down operator precedence over an on-demand scanner.  Unknown syntax raises ``SyntaxError`` with a position; nothing
-is guessed.  Return and await are allowed everywhere, as are imports below other statements.  JSX and TypeScript are
-not covered; ``parse_files`` takes any other parser in place of this one.
+is guessed.  Return and await are allowed everywhere, as are imports below other statements; HTML comments count as
+comments in scripts.  TypeScript is not covered; ``parse_files`` takes any other parser in place of this one.
 """
 
 from __future__ import annotations
 
+import html
 import json
 import re
 from collections.abc import Callable
@@ -20,6 +21,10 @@ TOO_LARGE = "File too large (>10MB)"
 MOST_SECONDS = 30.0  # for one file
 
 _SPACE = re.compile(r"(?:[\s\ufeff]|//[^\n\r\u2028\u2029]*|/\*.*?\*/)+", re.S)
+_HTML_OPEN = re.compile(r"<!--[^\n\r\u2028\u2029]*")
+_HTML_CLOSE = re.compile(r"-->[^\n\r\u2028\u2029]*")  # where a line begins
+_JSX_NAME = re.compile(r"[$_\w][$_\w-]*")
+_JSX_TEXT = re.compile(r"[^{<]+")
 _NAME = re.compile(r"(?:[$_\w]|\\u\{[0-9a-fA-F]+\}|\\u[0-9a-fA-F]{4})+")
 _NUMBER = re.compile(r"0[xX][\da-fA-F_]+n?|0[bB][01_]+n?|0[oO][0-7_]+n?|(?:\d[\d_]*\.?[\d_]*|\.\d[\d_]*)(?:[eE][+-]?\d[\d_]*)?n?")
 _STRING = re.compile(r"'(?:[^'\\\n\r]|\\(?:\r\n|[\s\S]))*'|\"(?:[^\"\\\n\r]|\\(?:\r\n|[\s\S]))*\"")
@@ -58,10 +63,12 @@ def _number(text: str) -> int | float:
 
 
 class Parser:
-    def __init__(self, code: str):
+    def __init__(self, code: str, module: bool = False):
         self.code = code
         self.end = 0  # of the token before
         self.arrows: dict[int, bool] = {}
+        self.elements: dict[int, int] = {}
+        self.module = module  # HTML comments are for scripts
         start = re.match(r"\ufeff?#![^\n]*", code)
         self.move(start.end() if start else 0)
 
@@ -73,8 +80,16 @@ class Parser:
 
     def scan(self, at: int) -> tuple[str, str, int, int, bool]:
         code, newline = self.code, False
-        if m := _SPACE.match(code, at):
-            newline = bool(re.search(r"[\n\r\u2028\u2029]", m[0]))
+        while True:
+            if m := _SPACE.match(code, at):
+                newline = newline or bool(re.search(r"[\n\r\u2028\u2029]", m[0]))
+                at = m.end()
+            if not self.module and code.startswith("<!--", at):
+                m = _HTML_OPEN.match(code, at)
+            elif not self.module and code.startswith("-->", at) and (newline or not code[:at].strip()):
+                m = _HTML_CLOSE.match(code, at)
+            else:
+                break
             at = m.end()
         if at >= len(code):
             return "end", "", at, at, True
@@ -163,7 +178,7 @@ class Parser:
                 self.next()
                 return self.node("EmptyStatement", start)
             if text == "@":
-                self.fail("decorators are not covered")
+                return self.decorated(start)
         elif self.kind == "name":
             follow = self.peek()
             if text in ("var", "const") or text == "let" and (follow[0] == "name" and follow[1] not in ("in", "instanceof") or follow[1] in ("[", "{")):
@@ -344,6 +359,9 @@ class Parser:
                 value = self.function(declared=True)
             elif self.at("class"):
                 value = self.class_(declared=True)
+            elif self.at("@"):
+                marks = self.decorators()
+                value = self.class_(declared=True) | {"decorators": marks}
             else:
                 value = self.assignment()
                 self.semicolon()
@@ -456,6 +474,35 @@ class Parser:
         body = self.node("ClassBody", at, body=members)
         return self.node("ClassDeclaration" if declared else "ClassExpression", start, id=name, superClass=parent, body=body)
 
+    def decorators(self) -> list[dict]:
+        out = []
+        while self.at("@"):
+            start = self.start
+            self.next()
+            at = self.start
+            if self.at("("):
+                expression = self.primary()
+            else:
+                expression = self.identifier()
+                while self.eat("."):
+                    expression = self.node("MemberExpression", at, object=expression, computed=False, property=self.word())
+                if self.at("("):
+                    expression = self.node("CallExpression", at, callee=expression, arguments=self.arguments())
+            out.append(self.node("Decorator", start, expression=expression))
+        return out
+
+    def decorated(self, start: int) -> dict:
+        """A class, or an exported one, behind its decorators."""
+        marks = self.decorators()
+        if not self.at("class", "export"):
+            self.fail("class expected")
+        out = self.statement()
+        owner = out if out["type"] == "ClassDeclaration" else out.get("declaration") or {}
+        if owner.get("type") != "ClassDeclaration":
+            raise SyntaxError(f"class expected after the decorators at {start}")
+        owner["decorators"] = marks + owner.get("decorators", [])
+        return out | {"start": start}
+
     def modifiers(self, *names: str) -> dict[str, bool]:
         """Leading words that modify a member, unless the word is the member's own name."""
         out = {}
@@ -465,7 +512,12 @@ class Parser:
         return out
 
     def member(self) -> dict:
-        start, static = self.start, bool(self.modifiers("static"))
+        start, marks = self.start, self.decorators()
+        out = self.bare_member(start)
+        return {"type": out["type"], "start": start, "end": self.end, "decorators": marks} | out if marks else out
+
+    def bare_member(self, start: int) -> dict:
+        static = bool(self.modifiers("static"))
         if static and self.at("{"):
             return self.node("StaticBlock", start, body=self.block()["body"])
         mods = self.modifiers("async", "get", "set")
@@ -551,7 +603,10 @@ class Parser:
             kind, text, start, stop, _ = self.scan(pos)
             if kind == "end":
                 break
-            if text in ("/", "/=") and (last is None or last[0] == "punctuator" and last[1] not in (")", "]", "}") or last[0] == "name" and last[1] in _BEFORE_REGEX):
+            operand = last is None or last[0] == "punctuator" and last[1] not in (")", "]", "}") or last[0] == "name" and last[1] in _BEFORE_REGEX
+            if text == "<" and operand:
+                kind, stop = "jsx", self.skip_jsx(start)
+            elif text in ("/", "/=") and operand:
                 if m := _REGEX.match(self.code, start):
                     kind, stop = "regex", m.end()
             elif kind == "template":
@@ -729,6 +784,11 @@ class Parser:
                 if not self.at("}"):
                     self.need(",")
             return self.node("ObjectExpression", start, properties=items)
+        if kind == "punctuator" and text == "<":  # no operator can stand here
+            return self.jsx(start)
+        if kind == "punctuator" and text == "@":
+            marks = self.decorators()
+            return self.class_() | {"decorators": marks}
         if kind == "punctuator" and text == "#":  # #name in object
             self.next()
             return self.node("PrivateName", start, id=self.word())
@@ -749,6 +809,124 @@ class Parser:
             return self.node({"this": "ThisExpression", "super": "Super", "null": "NullLiteral", "import": "Import"}[text], start)
         return self.identifier()
 
+    # JSX; here the scanner's tokens don't hold for names, texts and attribute strings
+
+    def jsx(self, start: int) -> dict:
+        out = self.jsx_element(start)
+        self.move(self.end)
+        return out
+
+    def skip_jsx(self, start: int) -> int:
+        """The end of the element at ``start``, or of the mark alone where none begins there; the parser stays where it is."""
+        if start not in self.elements:
+            was = self.kind, self.text, self.start, self.stop, self.newline, self.end
+            try:
+                self.elements[start] = self.jsx_element(start)["end"]
+            except SyntaxError:
+                self.elements[start] = start + 1
+            self.kind, self.text, self.start, self.stop, self.newline, self.end = was
+        return self.elements[start]
+
+    def jsx_element(self, start: int) -> dict:
+        """The element or fragment whose ``<`` is at ``start``; the token behind it is not read yet."""
+        at = self.jsx_space(start + 1)
+        name = None if self.code[at : at + 1] == ">" else self.jsx_name(at)
+        marks: list[dict] = []
+        at = self.jsx_space(self.end) if name else at
+        while name and self.code[at : at + 1] not in ("/", ">"):
+            marks.append(self.jsx_attribute(at))
+            at = self.jsx_space(self.end)
+        if closed := self.code[at : at + 1] == "/":
+            at = self.jsx_space(at + 1)
+        at = self.jsx_need(">", at)
+        part = "Element" if name else "Fragment"
+        fields = {"name": name, "attributes": marks, "selfClosing": closed} if name else {}
+        opening = {"type": f"JSXOpening{part}", "start": start, "end": at, **fields}
+        children, closing = ([], None) if closed else self.jsx_children(at, name)
+        kind = {"openingElement": opening, "closingElement": closing} if name else {"openingFragment": opening, "closingFragment": closing}
+        return self.node(f"JSX{part}", start, **kind, children=children)
+
+    def jsx_children(self, at: int, name: dict | None) -> tuple[list[dict], dict]:
+        """What stands between the tags, and the closing tag."""
+        code, out = self.code, []
+        while at < len(code):
+            if m := _JSX_TEXT.match(code, at):
+                self.end = m.end()
+                out.append(self.node("JSXText", at, value=html.unescape(m[0])))
+            elif code[at] == "{":
+                out.append(self.jsx_hole(at, "JSXSpreadChild"))
+            elif code[(inner := self.jsx_space(at + 1)) : inner + 1] == "/":
+                inner = self.jsx_space(inner + 1)
+                own = None if code[inner : inner + 1] == ">" else self.jsx_name(inner)
+                self.jsx_need(">", self.jsx_space(self.end) if own else inner)
+                if _jsx_spelt(own) != _jsx_spelt(name):
+                    raise SyntaxError(f"closing tag of {_jsx_spelt(name)!r} expected at {at}")
+                return out, self.node("JSXClosingElement" if own else "JSXClosingFragment", at, **({"name": own} if own else {}))
+            else:
+                out.append(self.jsx_element(at))
+            at = self.end
+        raise SyntaxError(f"tag {_jsx_spelt(name)!r} not closed")
+
+    def jsx_space(self, at: int) -> int:
+        m = _SPACE.match(self.code, at)
+        return m.end() if m else at
+
+    def jsx_need(self, text: str, at: int) -> int:
+        if not self.code.startswith(text, at):
+            raise SyntaxError(f"{text!r} expected at {at}")
+        self.end = at + len(text)
+        return self.end
+
+    def jsx_word(self, at: int) -> dict:
+        if not (m := _JSX_NAME.match(self.code, at)):
+            raise SyntaxError(f"name expected at {at}")
+        self.end = m.end()
+        return self.node("JSXIdentifier", at, name=m[0])
+
+    def jsx_name(self, at: int, members: bool = True) -> dict:
+        """a, a:b or, for tags, a.b.c."""
+        out, follow = self.jsx_word(at), self.code[self.end : self.end + 1]
+        if follow == ":":
+            return self.node("JSXNamespacedName", at, namespace=out, name=self.jsx_word(self.end + 1))
+        while members and self.code[self.end : self.end + 1] == ".":
+            prop = self.jsx_word(self.end + 1)
+            out = self.node("JSXMemberExpression", at, object=out, property=prop)
+        return out
+
+    def jsx_hole(self, start: int, spread: str) -> dict:
+        """Braces in JSX: an expression, three dots and one, or nothing."""
+        self.end = start + 1
+        self.move(start + 1)
+        if self.at("}"):
+            inner = {"type": "JSXEmptyExpression", "start": start + 1, "end": self.start}
+            kind, fields = "JSXExpressionContainer", {"expression": inner}
+        elif self.eat("..."):
+            kind, fields = spread, {"argument" if spread == "JSXSpreadAttribute" else "expression": self.assignment()}
+        else:
+            kind, fields = "JSXExpressionContainer", {"expression": self.expression()}
+        if not self.at("}"):
+            self.fail("'}' expected")
+        self.end = self.stop
+        return self.node(kind, start, **fields)
+
+    def jsx_attribute(self, start: int) -> dict:
+        if self.code[start : start + 1] == "{":
+            return self.jsx_hole(start, "JSXSpreadAttribute")
+        name, value = self.jsx_name(start, members=False), None
+        if self.code[(at := self.jsx_space(self.end)) : at + 1] == "=":
+            at = self.jsx_space(at + 1)
+            c = self.code[at : at + 1]
+            if c in ("'", '"') and (close := self.code.find(c, at + 1)) > 0:
+                self.end = close + 1
+                value = self.node("StringLiteral", at, value=html.unescape(self.code[at + 1 : close]))
+            elif c == "{":
+                value = self.jsx_hole(at, "JSXSpreadChild")
+            elif c == "<":
+                value = self.jsx_element(at)
+            else:
+                raise SyntaxError(f"attribute value expected at {at}")
+        return self.node("JSXAttribute", start, name=name, value=value)
+
     def new(self) -> dict:
         start = self.start
         self.next()
@@ -772,9 +950,26 @@ class Parser:
         return self.node("ObjectProperty", start, method=False, key=key, computed=False, shorthand=True, value=self.defaulted(key, start))
 
 
+def _jsx_spelt(name: dict | None) -> str:
+    """A tag's name as written, nothing for a fragment."""
+    if name is None:
+        return ""
+    if name["type"] == "JSXIdentifier":
+        return name["name"]
+    a, b, mark = (name["namespace"], name["name"], ":") if name["type"] == "JSXNamespacedName" else (name["object"], name["property"], ".")
+    return _jsx_spelt(a) + mark + _jsx_spelt(b)
+
+
 def parse(code: str) -> dict:
-    """{program: ...} of a script or module."""
+    """{program: ...} of a script or module; what may be an HTML comment is none in a file that imports or exports."""
     try:
+        if "<!--" in code or "-->" in code:
+            try:
+                program = Parser(code, module=True).program()
+                if any(s["type"].startswith(("Import", "Export")) for s in program["body"]):
+                    return {"type": "File", "program": program}
+            except SyntaxError:
+                pass
         return {"type": "File", "program": Parser(code).program()}
     except RecursionError:
         raise SyntaxError("nested too deeply") from None

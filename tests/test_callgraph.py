@@ -98,3 +98,33 @@ def test_rejects(code):
 def test_values():
     e = parse("f(0x10, 1e3, 1.5, 'a\\n\\u0041', /a[/]b/gi)")["program"]["body"][0]["expression"]["arguments"]
     assert [x.get("value") for x in e[:4]] == [16, 1000, 1.5, "a\nA"] and (e[4]["pattern"], e[4]["flags"]) == ("a[/]b", "gi")
+
+
+def test_calls_in_jsx_and_decorators():
+    nodes, _, _ = graph("const v = <a b={f(1)} {...g(2)}>it's {h(3)}<i/>don't</a>; @d(4) class A { @m(5) q() { r(6); } }")
+    assert {n[2] for n in nodes if n[0] == "CALL"} == {"f", "g", "h", "m", "r"}  # of a class only its members are walked
+
+
+def test_jsx_trees():
+    tree = parse("v = (<a.b c='x&amp;y' d:e><>t{/* none */}{...u}</></a.b>)")["program"]["body"][0]["expression"]["right"]
+    opening = tree["openingElement"]
+    assert (tree["type"], opening["name"]["type"], opening["selfClosing"], tree["closingElement"]["name"]["property"]["name"]) == ("JSXElement", "JSXMemberExpression", False, "b")
+    assert [(a["name"]["type"], (a["value"] or {}).get("value")) for a in opening["attributes"]] == [("JSXIdentifier", "x&y"), ("JSXNamespacedName", None)]
+    (part,) = tree["children"]
+    assert part["type"] == "JSXFragment" and [c["type"] for c in part["children"]] == ["JSXText", "JSXExpressionContainer", "JSXSpreadChild"]
+
+
+@pytest.mark.parametrize("code", ["r = (<p>it's ({f(1)}) don't</p>)", "r = (<A f={(e) => (<i>x'y</i>)}>{a ? (<b>it's</b>) : null}</A>)", "(a.default < b)", "f((a, b) => a < b)", "(a < b, c > (d))", "(x = <b>it's</b>) => x", "export default @d class {}", "@d export class B {}"])
+def test_angles_and_marks_that_parse(code):
+    assert parse(code)["program"]["body"]
+
+
+@pytest.mark.parametrize("code", ["<a></b>", "<a>", "<a b=></a>", "@d function f() {}", "<"])
+def test_bad_tags_and_decorators(code):
+    with pytest.raises(SyntaxError):
+        parse(code)
+
+
+def test_html_comments_in_scripts_only():
+    assert len(parse("<!-- a\nb();\n--> c\nd(1)")["program"]["body"]) == 2
+    assert parse("import a from 'b'; if (x<!--y) z()")["program"]["body"][1]["test"]["operator"] == "<"
