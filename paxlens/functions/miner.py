@@ -7,6 +7,7 @@ answers, so a run that breaks off goes on where it was.  All else is relational.
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,21 +29,32 @@ def samples(spark: SparkSession, root: str, n: int = SAMPLES) -> DataFrame:
 
 
 def extract(code: DataFrame, ask: Callable[[str], str], path: str, every: int = KEPT) -> DataFrame:
-    """Asks a model about every sample (package_id, code) not yet in the answers at ``path``; returns all answers there."""
+    """Asks a model about every sample (package_id, code) not yet in the answers at ``path``; returns all answers there.
+
+    The driver has the answers, so it writes them itself, a JSON file for each append: a Spark job for each took far longer.
+    A file gets its name once it is whole; Spark doesn't read names that begin with ``_``.
+    """
     spark = code.sparkSession
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    held = spark.read.schema(ANSWERS).json(path) if fs_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs_path) else None
+    at_path = spark._jvm.org.apache.hadoop.fs.Path
+    store = at_path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    held = spark.read.schema(ANSWERS).json(path) if store.exists(at_path(path)) else None
     todo = code if held is None else reports.not_done(code, held.select(F.col("sample").alias("package_id")), ["package_id"])
     at = 0 if held is None else held.count()
     new = []
 
     def keep():
         if new:
-            spark.createDataFrame(new, ANSWERS).coalesce(1).write.mode("append").json(path)
+            name = f"{new[0]['sample_ord']:09d}-{uuid.uuid4().hex[:12]}.json"
+            partial, whole = at_path(f"{path}/_{name}"), at_path(f"{path}/part-{name}")
+            out = store.create(partial)
+            out.write("".join(f"{json.dumps(x)}\n" for x in new).encode())
+            out.close()
+            if not store.rename(partial, whole):
+                raise OSError(f"cannot rename {partial.toString()} to {whole.toString()}")
             new.clear()
 
     for row in todo.orderBy("package_id").toLocalIterator():
-        new.append((row.package_id, at, mining.asked(ask, row.code)))
+        new.append({"sample": row.package_id, "sample_ord": at, "raw": mining.asked(ask, row.code)})
         at += 1
         if len(new) == every:
             keep()

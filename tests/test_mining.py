@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from paxlens.functions import mining
+from paxlens.functions import miner, mining
 
 FORM = "sample string, sample_ord int, rule_ord int, rule_id string, name string, category string, node_type string, callee_name_regex string, content_regex string, content string"
 
@@ -62,3 +62,35 @@ def test_retries():
         raise OSError
 
     assert mining.asked(call, "p", wait=waits.append) == "" and len(turns) == 3 and waits == [1.0, 2.0]
+
+
+def jobs_of(spark, group, run):
+    """What run() returns, and the number of Spark jobs it started from this thread."""
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        return run(), len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_answers_are_kept_without_a_job_for_each_append(spark, tmp_path):
+    code = spark.createDataFrame([(f"p{i:03d}", f"code {i}") for i in range(205)], "package_id string, code string")
+    path, asked = f"file://{tmp_path}/answers", []
+
+    def ask(prompt):
+        if len(asked) == 25:
+            raise KeyboardInterrupt
+        asked.append(prompt)
+        return f"{prompt}\r\n\u2028 \"\u00e9\U0001f600"
+
+    try:
+        miner.extract(code, ask, path)
+    except KeyboardInterrupt:
+        pass
+    held = spark.read.schema(miner.ANSWERS).json(path).collect()
+    assert {r.sample: r.sample_ord for r in held} == {f"p{i:03d}": i for i in range(20)}  # two appends
+    again = []
+    got, jobs = jobs_of(spark, "answers", lambda: miner.extract(code, lambda x: again.append(x) or f"{x}\r\n\u2028 \"\u00e9\U0001f600", path))
+    assert again == [f"code {i}" for i in range(20, 205)] and jobs < 12  # 19 appends
+    assert sorted(tuple(r) for r in got.collect()) == [(f"p{i:03d}", i, f"code {i}\r\n\u2028 \"\u00e9\U0001f600") for i in range(205)]
+    assert miner.extract(code, ask, path).count() == 205  # nothing left to ask
