@@ -77,10 +77,12 @@ def consolidate(answers: DataFrame, call: Callable[[str, list[dict]], list[dict]
     spark = answers.sparkSession
     parsed = answers.select("sample", "sample_ord", mining.answer_rules(F.col("raw")).alias("rules"))
     frequent = mining.by_category(mining.atomic(mining.valid(mining.flat(parsed))), min_frequency, batch)
+    found: dict[str, list] = {c: [] for c in CATEGORIES}
+    for r in sorted(frequent.collect(), key=lambda r: r.place):  # frequent patterns only; the answers are read once for all categories
+        found[r.category].append(r)
     rows = []
     for category, code in CATEGORIES.items():
-        found = frequent.where(F.col("category") == category).orderBy("place").collect()  # one category's patterns
-        rules = [{"rule_id": r.rule["rule_id"], "name": r.rule["name"], "category": category, "pdcg_pattern": {"node_type": r.node_type, **{c: r.rule[c] for c in ("callee_name_regex", "content_regex", "content") if r.rule[c]}}, "_freq": r.freq} for r in found]
+        rules = [{"rule_id": r.rule["rule_id"], "name": r.rule["name"], "category": category, "pdcg_pattern": {"node_type": r.node_type, **{c: r.rule[c] for c in ("callee_name_regex", "content_regex", "content") if r.rule[c]}}, "_freq": r.freq} for r in found[category]]
         if rules:
             rows += mining.kept_rules(mining.consolidated(rules, lambda x, c=category: call(c, x), batch, code))
     flat = [(i, r["rule_id"], r["name"], r["category"], *((r.get("pdcg_pattern") or {}).get(c) for c in ("node_type", "callee_name_regex", "content_regex", "content"))) for i, r in enumerate(rows)]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from paxlens.functions import miner, mining
@@ -94,3 +96,17 @@ def test_answers_are_kept_without_a_job_for_each_append(spark, tmp_path):
     assert again == [f"code {i}" for i in range(20, 205)] and jobs < 12  # 19 appends
     assert sorted(tuple(r) for r in got.collect()) == [(f"p{i:03d}", i, f"code {i}\r\n\u2028 \"\u00e9\U0001f600") for i in range(205)]
     assert miner.extract(code, ask, path).count() == 205  # nothing left to ask
+
+
+def test_consolidation_reads_answers_once(spark, tmp_path):
+    record = lambda c, p: {"rule_id": "r", "category": c, "pdcg_pattern": {"node_type": "CALL", "callee_name_regex": p}}
+    raw = lambda i: json.dumps([record("DATA_ENCODING", "common"), record("PAYLOAD_EXECUTION", f"half{i % 2}"), record("SPECIAL_PATTERNS", f"own{i}"), record("SPECIAL_PATTERNS", "z")])
+    answers = spark.createDataFrame([(f"s{i}", i, raw(i)) for i in range(5)], miner.ANSWERS)
+    answers.write.json(f"file://{tmp_path}/answers")
+    calls = []
+    answers = spark.read.schema(miner.ANSWERS).json(f"file://{tmp_path}/answers")
+    rules, jobs = jobs_of(spark, "consolidate", lambda: miner.consolidate(answers, lambda c, x: calls.append((c, [r["pdcg_pattern"]["callee_name_regex"] for r in x])) or []))
+    want = {("DATA_ENCODING", ("common",)), ("PAYLOAD_EXECUTION", ("half0", "half1")), ("SPECIAL_PATTERNS", ("z",))}
+    assert {(c, tuple(p)) for c, p in calls if len(p) == len(dict(want)[c])} == want
+    assert {(r.rule_id, r.callee_name_regex) for r in rules.collect()} == {("DE-001", "common"), ("PE-001", "half0"), ("PE-002", "half1"), ("SP-001", "z")}
+    assert jobs <= 5
