@@ -198,3 +198,8 @@ def test_ports_are_hits(spark):
     files = spark.createDataFrame(code, "package_id string, data_type string, rel_path string, size long, code string")
     rows = analysed(files, files.select("package_id", "data_type"), virtual=False).features.collect()
     assert {r.package_id: r.hit_rules for r in rows} == {"p": "DT-014,IG-002", "q": "IG-002", "r": "DT-014,IG-002", "s": "IG-002"}
+
+
+def test_package_reports_of_large_keys(spark, tmp_path):
+    got, want = tree_query(spark, tmp_path, "tree_package_reports")
+    assert got == want and len(got) > 17
